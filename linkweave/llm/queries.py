@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .importance import resample
 from .mixing import mix
 from .quality_rules import compression_bands
+from .topk import top_k
 from .url_filters import PATTERNS, filter_urls
+from .warc import captured
 
 #: The host rules of op6.
 HOST_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
@@ -18,11 +21,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captured(_read(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = compression_bands(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return x.select("doc_id", "verdict.*")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _read(spark, sf_dir, "embeddings")
+    return top_k(x, x.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mix(_read(spark, sf_dir, "documents"), seed=MIX_SEED)
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -34,14 +50,45 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+_DIGITS, _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base32 of a SHA-1: one letter for each five of its bits.
+_BITS = "array_to_string(list_transform(range(40), lambda i: right('000' || bin(('0x' || substr(sha1(coalesce(html, '')), i + 1, 1))::INTEGER), 4)), '')"
+_BASE32 = f"array_to_string(list_transform(range(32), lambda i: '{_LETTERS}'[1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INTEGER * (16 >> j)))::INTEGER]), '')"
+
 ORACLE = {
+    "op1_warc": f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, {_BITS} AS bits FROM pages
+), d AS (
+  SELECT *, min(page_id) OVER (PARTITION BY bits) AS first FROM p
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""",
+    "op4_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op5_mixing": rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size FROM documents

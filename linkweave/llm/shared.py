@@ -6,42 +6,20 @@ that is what ``bytes.split()`` splits on, so no regular expression is needed.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The same words as a Java / RE2 pattern.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where
-    it is unset, as in local tests) a folder of the session's own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='linkweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+from linkweave.plans.lineage import new_path, staged, work_dir
 
+__all__ = ["new_path", "staged", "work_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: lineage ends
-    here, and executors that are lost later cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The same words as a Java / RE2 pattern.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(df: DataFrame) -> int:
