@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .importance import resample
 from .mixing import mix
+from .pieces import encode
 from .quality_rules import compression_bands
+from .shared import new_path
 from .topk import top_k
+from .training_order import read_shards, write_shards
 from .url_filters import PATTERNS, filter_urls
 from .warc import captured
 
 #: The host rules of op6.
 HOST_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
 MIX_SEED = 20
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Fixed value: the pre-token pattern that belongs to the byte-level BPE ranks.
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +58,19 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    x = encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return x.select("doc_id", "pieces.n_tokens", "pieces.chunks", F.crc32("pieces.ids").alias("ids_crc32"), "pieces.round_trip")
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "training-order")
+    write_shards(_read(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
+    x = read_shards(spark, path)
+    return x.select("slot", "shard", "doc_id", "window", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -56,6 +78,8 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_training_order": op9_training_order,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
