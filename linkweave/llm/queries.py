@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .importance import resample
+from .language_id import identify
 from .mixing import mix
 from .pieces import encode
 from .quality_rules import compression_bands
@@ -71,6 +72,10 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("slot", "shard", "doc_id", "window", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +85,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_training_order": op9_training_order,
+    "op10_language_id": op10_language_id,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
