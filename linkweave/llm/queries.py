@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .importance import resample
+from .jaccard import classes
 from .language_id import identify
 from .mixing import mix
 from .pieces import encode
@@ -59,6 +60,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(_read(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     x = encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_url_filters": op6_url_filters,
+    "op7_jaccard": op7_jaccard,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_training_order": op9_training_order,
     "op10_language_id": op10_language_id,
@@ -96,6 +102,25 @@ _BITS = "array_to_string(list_transform(range(40), lambda i: right('000' || bin(
 _BASE32 = f"array_to_string(list_transform(range(32), lambda i: '{_LETTERS}'[1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INTEGER * (16 >> j)))::INTEGER]), '')"
 
 ORACLE = {
+    "op7_jaccard": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), es AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), c AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT es.b, c.r FROM c JOIN es ON es.a = c.doc_id
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.r) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+""",
     "op1_warc": f"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, {_BITS} AS bits FROM pages
