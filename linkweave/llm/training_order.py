@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import base64
 import json
-import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,39 +64,92 @@ class Feistel:
         return self._walk(slot, True)
 
 
+#: Texts in which a space might not begin a pre-token: next to another blank, or
+#: at an end; and texts with any blank but space and line feed.
+_UNSAFE = r"  | \n|\n |^[ \n]|[ \n]$|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 class ByteBpe:
-    """Byte-level BPE ids of texts as little-endian uint16, from a public rank file.
+    """Byte-level BPE ids (little-endian uint16) from a public rank file.
 
-    A single space between two non-blanks always begins a pre-token, so a text
-    falls apart there and ids of the parts are remembered, `most` of them."""
+    A single space between two non-blanks always begins a pre-token, so texts fall
+    apart there: the distinct words of many texts are encoded once, all in one call
+    (a token that begins with a space begins a word), and texts gather their ids.
+    Texts where that might not hold are encoded one by one."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = 1_000_000):
+    def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.seen: dict[str, bytes] = {}
-        self.most = most
-        self.end = max(table.values()) + 1  # free id: end of text
-        self.apart = re.compile(r"(?<=\S)(?= \S)").split
-        self.runs = re.compile(r"\s\s").search
-
-    def parts(self, text: str) -> list[bytes]:
-        if self.runs(text) or text[:1] == " " or text[-1:] == " ":
-            words = self.apart(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[f" {w}" for w in rest]]
-        seen = self.seen
-        try:
-            return [seen[w] for w in words]
-        except KeyError:
-            pass
-        if len(seen) > self.most:
-            seen.clear()
-        for w in {w for w in words if w not in seen}:
-            seen[w] = np.array(self.encoding.encode_ordinary(w), "<u2").tobytes()
-        return [seen[w] for w in words]
+        self.end = max(table.values()) + 1  # a free id: end of text
+        if self.end >= 1 << 16:
+            raise ValueError("ids do not fit 16 bits")
+        self.begins = np.zeros(self.end + 1, bool)
+        for token, i in table.items():
+            self.begins[i] = token[:1] == b" "
+
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), np.uint16)
+
+    def _lengths_and_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Safe texts (without null) as words: (list offsets, index of each word among the
+        distinct ones, (first token, number of tokens) of those and their ids)."""
+        words = pc.split_pattern(texts, " ")
+        offsets = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        ids = self.one(" " + pc.binary_join(distinct, " ")[0].as_py())
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(coded.dictionary):
+            raise RuntimeError("words and tokens do not agree")
+        return offsets - offsets[0], coded.indices.to_numpy(), [first, np.diff(np.append(first, len(ids))), ids]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's); none for null and empty."""
+        n = len(texts)
+        counts = np.zeros(n, np.int64)
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, _UNSAFE), False)
+        safe = np.flatnonzero(pc.and_not(some, odd).to_numpy(zero_copy_only=False))
+        rest = {int(i): self.one(texts[int(i)].as_py()) for i in np.flatnonzero(pc.and_(some, odd).to_numpy(zero_copy_only=False))}
+        for i, ids in rest.items():
+            counts[i] = len(ids)
+        flat = np.empty(0, np.uint16)
+        if len(safe):
+            offsets, index, (first, size, ids) = self._lengths_and_ids(texts.take(pa.array(safe)))
+            heads = offsets[:-1]  # a text's first word has no space in front
+            bare = [self.one(w) for w in pc.list_element(pc.split_pattern(texts.take(pa.array(safe)), " ", max_splits=1), 0).to_pylist()]
+            first, size = first[index], size[index]
+            bare_sizes = np.array([len(x) for x in bare])
+            first[heads] = len(ids) + np.cumsum(bare_sizes) - bare_sizes
+            size[heads] = bare_sizes
+            ids = np.concatenate([ids, *bare])
+            ends = np.cumsum(size)
+            total = int(ends[-1])
+            flat = ids[np.arange(total) + np.repeat(first - (ends - size), size)]
+            counts[safe] = np.diff(np.append(0, ends[offsets[1:] - 1]))
+        if not rest:
+            return flat, counts
+        out, at = [], 0
+        for i in range(n):
+            if i in rest:
+                out.append(rest[i])
+            else:
+                out.append(flat[at : at + counts[i]])
+                at += counts[i]
+        return np.concatenate(out), counts
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Pieces of a batch with about so many bytes of text each."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+        pa.default_memory_pool().release_unused()
 
 
 _bpe: dict[tuple, ByteBpe] = {}
@@ -108,7 +162,7 @@ def _tokenizer(ranks: bytes, pattern: str) -> ByteBpe:
     return _bpe[key]
 
 
-def _windows(n_tokens: int, length: int) -> int:
+def _windows(n_tokens, length: int):
     return -(-n_tokens // length)
 
 
@@ -129,9 +183,9 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
     def count(batches):
         bpe, n = _tokenizer(ranks.value, pattern), 0
         for b in batches:
-            for text in b.column(1).to_pylist():
-                if text:
-                    n += _windows(sum(map(len, bpe.parts(text))) // 2 + 1, length)
+            for part in _slices(b, 1):
+                sizes = bpe.encode(part.column(1))[1]
+                n += int(_windows(sizes[sizes > 0] + 1, length).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
 
     counts = sorted(map(tuple, rows.mapInArrow(count, "part long, n long").where("n > 0").collect()))  # one row a task
@@ -151,27 +205,22 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
         at, n = begun.value.get(part, (0, 0))
         last, end = at + n, np.array([bpe.end], "<u2").tobytes()
         for b in batches:
-            out: list[bytes] = []
-
-            def flush(out=out):
-                slots = order.slot(np.arange(at, at + len(out), dtype=np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(out, pa.binary())], ["slot", "record"])
-
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                ids = b"".join([*bpe.parts(text), end])
-                for w in range(_windows(len(ids) // 2, length)):
-                    piece = ids[2 * w * length : 2 * (w + 1) * length]
-                    head = np.array([(NO_DOC if doc is None else doc, w, len(piece) // 2)], HEADER).tobytes()
-                    out.append(head + piece + end * (length - len(piece) // 2))
-                if len(out) >= 8192:
-                    yield flush()
-                    at += len(out)
-                    out.clear()
-            if out:
-                yield flush()
-                at += len(out)
+            for texts in _slices(b, 1):
+                ids, sizes = bpe.encode(texts.column(1))
+                data, done, out = ids.tobytes(), 0, []
+                for doc, n in zip(texts.column(0).to_pylist(), sizes.tolist(), strict=True):
+                    if not n:
+                        continue
+                    own = data[done : done + 2 * n] + end
+                    done += 2 * n
+                    for w in range(_windows(n + 1, length)):
+                        piece = own[2 * w * length : 2 * (w + 1) * length]
+                        out.append(struct.pack("<qii", NO_DOC if doc is None else doc, w, len(piece) // 2) + piece + end * (length - len(piece) // 2))
+                for i in range(0, len(out), 8192):
+                    some = out[i : i + 8192]
+                    slots = order.slot(np.arange(at, at + len(some), dtype=np.int64))
+                    at += len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(some, pa.binary())], ["slot", "record"])
         if at != last:
             raise RuntimeError(f"partition {part} has other rows than when they were counted")
 
