@@ -182,7 +182,7 @@ def assemble(records: DataFrame) -> DataFrame:
     capture give no row."""
     is_capture = F.col("warc_type").isin(*CAPTURES)
     captures = records.where(is_capture).select("record_id")
-    linked = records.where(~is_capture).select(F.element_at("concurrent_to", 1).alias("record_id"))
+    linked = records.where(~is_capture).select(F.try_element_at("concurrent_to", F.lit(1)).alias("record_id"))
     key = F.when(is_capture, F.col("record_id")).otherwise(F.try_element_at("concurrent_to", F.lit(1)))
     x = records.withColumn("_key", key)
     stray = linked.where("record_id is not null").join(captures, "record_id", "left_anti")
