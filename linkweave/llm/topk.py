@@ -158,7 +158,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 top, norm, dim = max(top, float(np.abs(v).max())), max(norm, float((v * v).sum(axis=1).max())), max(dim, v.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array([top]), pa.array([norm]), pa.array([dim], pa.int64())], ["top", "norm", "dim"])
 
-    top, norm, dim = both.mapInArrow(extent, "top double, norm double, dim long").agg(F.max("top"), F.max("norm"), F.max("dim")).first()
+    extents = both.mapInArrow(extent, "top double, norm double, dim long").agg(F.max("top"), F.max("norm"), F.max("dim")).first()
+    top, norm, dim = (x or 0 for x in extents)
     out = new_path(spark, "topk")
     schema = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(out)
@@ -168,12 +169,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         if not len(ok):
             continue
         v = v if v.shape[1] >= dim else np.pad(v, ((0, 0), (0, dim - v.shape[1])))
-        wide = max(float(np.abs(v).max(initial=0)), top or 0) ** 2 * max(v.shape[1], 1)
+        wide = max(float(np.abs(v).max(initial=0)), top) ** 2 * max(v.shape[1], 1)
         if not wide < 2.0**62:
             raise ValueError("scores do not fit a long")
         ids = np.array([rows[i].id for i in ok], np.int64)
         scorer = Scorer(ids, v, scale, wide < 2.0**53)
-        bound = (np.sqrt((v * v).sum(axis=1) * (norm or 0)) * (1 + 1e-9)).astype(np.int64) + 1
+        bound = (np.sqrt((v * v).sum(axis=1) * norm) * (1 + 1e-9)).astype(np.int64) + 1
         found = _emit(both, scorer, kth_scores(both, scorer, k, bound), k)
         names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q long, query_id long")
         found.join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int"), "vec_id", "score").write.mode("append").parquet(out)
