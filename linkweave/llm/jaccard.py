@@ -10,15 +10,17 @@ exact copies are one point whatever their number. Two sets link when
    shingle. The order comes from counts of all shingles of all texts in hashed
    buckets, so that passages which many texts share come last and make no block.
    Any order gives the same links; this one keeps blocks small.
-2. Chains. In each block the sets next to each other in size, and each with the
-   first, are verified. Connected components of these links make most blocks one
-   class; blocks of one class need no more work, so a large group of copies costs
-   in proportion to its size.
-3. Count-vector R-tree. In the other blocks, shingles hash into groups and a set is
-   the point of its group counts. The sum of coordinate minima bounds the overlap
-   of two points, and of a point and a node's upper corner; the tree drops what
-   the bound excludes, and the surviving pairs of different classes are verified.
-   Blocks of over `leaf_block` sets are cut in parts that meet pairwise.
+2. Points. Shingles hash into groups and a set is the point of its group counts, a
+   byte each. The sum of coordinate minima bounds the overlap of two sets, so pairs
+   are tried on points (coarse ones in trees, fine ones pair by pair), and the sets
+   of the few survivors alone are fetched.
+3. Chains. In each block the sets next to each other in size, and each with the
+   first, are tried and verified. Connected components of these links make most
+   blocks one class; blocks of one class need no more work, so a large group of
+   copies costs in proportion to its size.
+4. R-tree. The other blocks' points go into a tree whose nodes bound the overlap by
+   their upper corner; what it leaves, of different classes, is verified. Blocks of
+   over `leaf_block` sets are cut in parts that meet pairwise.
 
 Shingles are 64-bit hashes; a set is known by a 64-bit fingerprint, and it is
 checked with 128 bits that no two sets share one.
@@ -50,12 +52,11 @@ _hashes = WordHashes()
 @dataclass(frozen=True)
 class Join:
     """percent: least Jaccard similarity, in percent. width: words in a shingle.
-    groups: coordinates of the count vectors. fanout: points and nodes in a node of
-    the R-tree. leaf_block: sets in a part of a block."""
+    fanout: points and nodes in a node of the R-tree. leaf_block: sets in a part of
+    a block."""
 
     percent: int = 75
     width: int = 5
-    groups: int = 128
     fanout: int = 16
     leaf_block: int = 2048
 
@@ -80,6 +81,30 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
+#: Coordinates of a set's fine point: a power of two, from its size to twice that;
+#: of its coarse one a quarter of that.
+FINE, COARSE = 0, 2
+
+
+def count_vector(s: np.ndarray, fold: int = FINE) -> bytes:
+    """Group counts of a set, a byte each. Groups are ranges of the top bits, so that
+    neighbouring groups add up to those of half as many. 255 stands for any more."""
+    bits = min(20, max(4, (max(len(s), 1) - 1).bit_length() - fold))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer coordinates, as counts; what stands for more stays as much."""
+    v = np.where(point == 255, 1 << 30, point.astype(np.int64))
+    return v if len(v) == groups else v.reshape(groups, -1).sum(axis=1)
+
+
+def may_link(p: np.ndarray, q: np.ndarray, n: int, how: Join) -> bool:
+    """Whether the sum of coordinate minima lets two points of n elements in all link."""
+    g = min(len(p), len(q))
+    return int(np.minimum(folded(p, g), folded(q, g)).sum()) >= how.overlap(n)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as longs of the same order."""
     return (x ^ np.uint64(1 << 63)).view(np.int64)
@@ -87,10 +112,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def survey(docs: DataFrame, how: Join) -> DataFrame:
     """One pass over the texts, written: rows (bucket, n) with the distinct shingles
-    of each bucket, and rows (doc, fp, fp2, n) with each text's set."""
+    of each bucket, and rows (doc, fp, fp2, n, point, fine) with each text's set and its points."""
 
     def run(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, names = np.zeros(1 << BUCKET_BITS, np.int64), ["bucket", "doc", "fp", "fp2", "n", "point", "fine"]
         shift = np.uint64(64 - BUCKET_BITS)
         for b in batches:
             fps, sizes, sets = [], [], []
@@ -102,13 +127,13 @@ def survey(docs: DataFrame, how: Join) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
             n = len(fps)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), b.column(0), pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1] for x in fps], pa.int64()), pa.array(sizes, pa.int64())], ["bucket", "doc", "fp", "fp2", "n"]
+                [pa.nulls(n, pa.int64()), b.column(0), pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1] for x in fps], pa.int64()), pa.array(sizes, pa.int64()), pa.array([count_vector(s, COARSE) for s in sets], pa.binary()), pa.array(map(count_vector, sets), pa.binary())], names
             )
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, pa.array(counts[at])], ["bucket", "doc", "fp", "fp2", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, pa.array(counts[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], names)
 
-    return staged(docs.mapInArrow(run, "bucket long, doc long, fp long, fp2 long, n long"), "jaccard-survey")
+    return staged(docs.mapInArrow(run, "bucket long, doc long, fp long, fp2 long, n long, point binary, fine binary"), "jaccard-survey")
 
 
 def bucket_ranks(survey_table: DataFrame) -> np.ndarray:
@@ -216,37 +241,52 @@ def _place(doc: Column) -> Column:
     return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits at the hashed places of ids: 2 MB at most, however many ids there are."""
-    words = ids.select(_place(F.col("doc")).alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    return out
+def id_filter(ids: DataFrame) -> Column:
+    """Whether a doc is among ids, or (rarely) not: bits at hashed places, 2 MB however
+    many ids there are, tested in the scan."""
+    spark = ids.sparkSession
+    words = ids.select(_place(F.col("doc")).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    bits = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))})).scalar()
+    place = _place(F.col("doc"))
+    word = F.get(bits, F.floor(place / F.lit(64)).cast("int"))
+    return F.expr("1L") == F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
 
 def fetch_sets(docs: DataFrame, needed: DataFrame, how: Join) -> DataFrame:
-    """(fp, n, shingles): the sets of needed (fp, doc), written; docs' texts are not
+    """(fp, shingles): the sets of needed (fp, doc), written; docs' texts are not
     shuffled, only the sets that an id filter lets through."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
     def run(batches):
         for b in batches:
-            place = b.column(2).to_numpy()
-            hit = np.flatnonzero(bits.value[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1))
-            if not len(hit):
-                continue
-            at = pa.array(hit)
-            sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1).take(at))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "fp", "n", "shingles"]
-            )
+            sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "fp", "shingles"])
 
-    rows = docs.withColumn("_place", _place(F.col("doc"))).mapInArrow(run, "doc long, fp long, n int, shingles binary")
+    rows = docs.where(id_filter(needed)).mapInArrow(run, "doc long, fp long, shingles binary")
     return staged(rows.join(needed, ["fp", "doc"]).drop("doc").dropDuplicates(["fp"]), "jaccard-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def bounded(pairs: DataFrame, points: DataFrame, how: Join) -> DataFrame:
+    """The pairs (a, b) that sizes and count vectors allow to link."""
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            rows = zip(b.column(4).to_pylist(), b.column(5).to_pylist(), n.tolist(), strict=True)
+            keep = pa.array([may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k, how) for x, y, k in rows])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["a", "b"])
+
+    side = lambda c: points.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb"))
+    return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def verified(tried: DataFrame, texts: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
+    """The pairs (a, b) whose sets link. Fine points drop nearly all others first."""
+    pairs = staged(bounded(tried, reps.select("fp", "n", F.col("fine").alias("point")), how), "jaccard-bounded")
+    ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = fetch_sets(texts, staged(reps.select("fp", "doc").join(ends, "fp", "left_semi"), "jaccard-needed"), how)
 
     def run(batches):
         for b in batches:
@@ -257,23 +297,11 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
                 keep.append(both - len(np.union1d(x, y)) >= how.overlap(both))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(2)], ["a", "b"])
 
-    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na")), "a")
-    x = x.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb")), "b")
-    x = x.where(100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb"))
+    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
+    x = x.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def count_vector(shingles: Column, how: Join) -> Column:
-    """Group counts of a set, as little-endian uint32."""
-
-    @F.arrow_udf("binary")
-    def of(column: pa.Array) -> pa.Array:
-        g = np.uint64(how.groups)
-        return pa.array([np.bincount((np.frombuffer(x, np.uint64) % g).astype(np.int64), minlength=how.groups).astype("<u4").tobytes() for x in column.to_pylist()], pa.binary())
-
-    return of(shingles)
-
-
 class RTree:
     """Points of one block, packed by size and then coordinates; a node has its
     points' upper corner and least size, a level `fanout` times fewer nodes than
@@ -288,40 +316,100 @@ class RTree:
             at = np.arange(0, len(n), how.fanout)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(n, at)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Positions of the points that could link with a point of no greater size."""
+    def search(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the points that could link with a point of no greater size, and
+        the bounds of their overlaps."""
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             p, n = self.levels[depth]
             bound = np.minimum(p[at], point).sum(axis=1)
             # A larger set than the point: at least its size, at most what percent allows.
             fits = (bound >= self.how.overlap(size + np.maximum(n[at], size))) & (self.how.percent * n[at] <= 100 * size)
-            at = at[fits]
+            at, bound = at[fits], bound[fits]
             if depth:
                 at = (at[:, None] * self.how.fanout + np.arange(self.how.fanout)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
-
-
-def surviving(rows: pa.Table, how: Join) -> pa.Table:
-    """Pairs (a, b) of a block's rows (part, lo, hi, fp, n, small, label, point) that
-    the bound does not exclude, of different labels, from parts lo and hi."""
-    n, fp, label = (rows.column(c).to_numpy() for c in ("n", "fp", "label"))
-    small, part = rows.column("small").to_numpy(zero_copy_only=False), rows.column("part").to_numpy()
-    points = np.array([np.frombuffer(x, "<u4") for x in rows.column("point").to_pylist()]).astype(np.int64)
-    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-    out = []
+        return self.order[at], bound
+
+
+def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.ndarray:
+    """Pairs (a, b) of one block's rows, from parts lo and hi, of different labels,
+    that the bound does not exclude: of each row the one of greatest bound, or all
+    of which the block is the first that both are in."""
+    n, fp, label, small, part = (block[c] for c in ("n", "fp", "label", "small", "part"))
+    token, g = int(block["token"][0]), min(map(len, block["point"]))
+    points = np.stack([folded(np.frombuffer(x, np.uint8), g) for x in block["point"]])
+    lo, hi = int(block["lo"][0]), int(block["hi"][0])
+    out = [np.empty((0, 2), np.int64)]
     for mine, theirs in {(lo, hi), (hi, lo)}:
         own, other = np.flatnonzero((part == mine) & small), np.flatnonzero(part == theirs)
         if not len(own) or not len(other):
             continue
         tree = RTree(points[other], n[other], how)
         for i in own:
-            j = other[tree.search(points[i], int(n[i]))]
-            j = j[(label[j] != label[i]) & ((n[j] > n[i]) | ((n[j] == n[i]) & (fp[j] > fp[i])))]
+            j, bound = tree.search(points[i], int(n[i]))
+            j = other[j]
+            fits = (label[j] != label[i]) & ((n[j] > n[i]) | ((n[j] == n[i]) & (fp[j] > fp[i])))
+            j, bound = j[fits], bound[fits]
+            if not len(j):
+                continue
+            if nearest:  # ties fall differently in every block
+                j = j[[np.lexsort((fp[j] ^ token, -bound))[0]]]
+            else:
+                j = j[[int(np.intersect1d(block["tokens"][i], block["tokens"][k], assume_unique=True)[0]) == token for k in j]]
             out.append(np.stack([np.full(len(j), fp[i]), fp[j]], axis=1))
-    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return np.concatenate(out)
+
+
+def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
+    """(token, a, b) that the R-trees of the blocks (token, lo, hi) of rows leave. A
+    block, of at most two parts, is held whole."""
+    names = ["token", "lo", "hi", "part", "fp", "n", "small", "label", "point", *([] if nearest else ["tokens"])]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            """Pairs of the blocks that are whole, and the rows of one that may go on."""
+            t, lo, hi = (table.column(c).to_numpy() for c in names[:3])
+            cut = np.flatnonzero((t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
+            found, tokens, at = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], 0
+            for end in [*cut.tolist(), *([len(t)] if last else [])]:
+                if end - at > 1:
+                    found.append(survivors_of({c: v[at:end] for c, v in cols.items()}, how, nearest))
+                    tokens.append(np.full(len(found[-1]), t[at]))
+                at = end
+            ends = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["token", "a", "b"]), table.slice(at)
+
+        for b in batches:
+            held.append(b)
+            first, end = held[0].slice(0, 1).to_pylist()[0], b.slice(b.num_rows - 1).to_pylist()[0]
+            if any(first[c] != end[c] for c in names[:3]):
+                out, rest = pairs(pa.Table.from_batches(held), False)
+                held = rest.combine_chunks().to_batches()
+                yield out
+        if held:
+            yield pairs(pa.Table.from_batches(held), True)[0]
+
+    x = rows.select(names).repartition(partitions(rows), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return x.mapInArrow(run, "token long, a long, b long")
+
+
+def open_blocks(rows: DataFrame, links: DataFrame, points: DataFrame, how: Join) -> DataFrame:
+    """The rows (token, fp, small) of the blocks of more than one class, with label,
+    point, size and parts."""
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+    x = staged(rows.join(labels, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component"), "jaccard-labelled")
+    mixed = x.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / how.leaf_block).alias("parts"))
+    x = x.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return x.withColumn("lo", F.least("part", "o")).withColumn("hi", F.greatest("part", "o")).drop("o", "parts").join(points, "fp")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -335,33 +423,35 @@ def classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
     not read; an empty table gives no rows."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "text")
     seen = survey(texts, how)
-    ids = seen.where("bucket is null").select("doc", "fp", "fp2", "n")
-    reps = ids.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
+    ids = seen.where("bucket is null").select("doc", "fp", "fp2", "n", "point", "fine")
+    reps = ids.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
+    reps = staged(reps, "jaccard-reps")
     if not reps.where("one <> two").isEmpty():
         raise ValueError("two different sets have one 64-bit fingerprint")
+    points = reps.select("fp", "n", "point")
     ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(seen))
     block_rows = staged(blocks(prefixes(texts, ranks, how), how), "jaccard-blocks")
 
+    # Chains: rows next to each other, and each with its block's first.
     near = block_rows.select("fp", F.explode(F.array("prev", "first")).alias("o")).where("o is not null")
-    pairs = near.select(F.least("fp", "o").alias("a"), F.greatest("fp", "o").alias("b")).distinct()
-    needed = reps.select("fp", "doc").join(block_rows.select("fp").distinct(), "fp", "left_semi")
-    sets = fetch_sets(texts, staged(needed, "jaccard-needed"), how)
-    links = staged(verified(pairs, sets, how), "jaccard-links")
-
-    labels = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
-    labelled = block_rows.select("token", "fp", "n", "small").join(labels, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
-    labelled = staged(labelled, "jaccard-labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / how.leaf_block).alias("parts"))
-    open_rows = labelled.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    open_rows = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    open_rows = open_rows.select("token", "part", F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"), "fp", "n", "small", "label")
-    points = sets.select("fp", count_vector(F.col("shingles"), how).alias("point"))
-    survivors = open_rows.join(points, "fp").groupBy("token", "lo", "hi").applyInArrow(lambda t: surviving(t, how), "a long, b long")
-    more = verified(survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti"), sets, how)
-    everything = staged(links.unionByName(more), "jaccard-all-links")
+    pairs = staged(near.select(F.least("fp", "o").alias("a"), F.greatest("fp", "o").alias("b")).distinct(), "jaccard-near")
+    links = staged(verified(pairs, texts, reps, how), "jaccard-links")
+
+    # Blocks of several classes. Up to three rows are all pairs already.
+    sizes = block_rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 3").select("token")
+    large = staged(block_rows.select("token", "fp", "small").join(sizes, "token"), "jaccard-large")
+    tried = staged(surviving(open_blocks(large, links, points, how), how, True), "jaccard-nearest")
+    more = staged(verified(_pairs(tried).join(pairs, ["a", "b"], "left_anti"), texts, reps, how), "jaccard-more")
+    links = staged(links.unionByName(more), "jaccard-links")
+    # A block without a pair left in it is done.
+    rest = large.join(tried.select("token").distinct(), "token")
+    tokens = rest.groupBy("fp").agg(F.array_sort(F.collect_list("token")).alias("tokens"))  # a prefix at most
+    left = surviving(open_blocks(rest, links, points, how).join(tokens, "fp"), how, False)
+    last = verified(_pairs(left), texts, reps, how)
+    everything = staged(links.unionByName(last), "jaccard-all-links")
 
     final = connected_components(everything, "a", "b").withColumnRenamed("node", "fp")
-    x = ids.join(final, "fp", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "fp")))
+    x = ids.select("doc", "fp", "n").join(final, "fp", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "fp")))
     own = F.when(F.col("doc") != NO_DOC, F.col("doc"))
     x = x.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "label")
     least = x.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

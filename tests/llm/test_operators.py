@@ -324,7 +324,7 @@ def test_bound_never_excludes_a_link():
             b = np.concatenate([a[: int(n * r.uniform(0.6, 1))], r.integers(0, 2**63, int(n * r.uniform(0, 0.4))).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             k, both = len(np.intersect1d(a, b)), len(a) + len(b)
-            p, q = (np.frombuffer(jaccard.count_vector(x), np.uint8) for x in (a, b))
+            p, q = (np.frombuffer(jaccard.count_vector(x, r.choice([jaccard.FINE, jaccard.COARSE])), np.uint8) for x in (a, b))
             if 100 * k >= 75 * (both - k):
                 assert jaccard.may_link(p, q, both, how)
                 s, t = (a, b) if len(a) <= len(b) else (b, a)
