@@ -68,7 +68,7 @@ def boundary_states(matrices: list[Matrix], ends: int) -> list[State]:
 class Model:
     """A SentencePiece model (BPE or unigram) with identity normalisation."""
 
-    def __init__(self, proto: bytes, most: int = 1_000_000):
+    def __init__(self, proto: bytes, most: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
