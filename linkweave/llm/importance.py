@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, raw_texts, shingle_hashes, staged
+from .shared import mixed, raw_texts, shingle_hashes, staged, word_hashes
 
 #: Keys are compared as whole multiples of 2**-20.
 KEY_UNIT = 1 << 20
@@ -39,11 +39,8 @@ class Sampling:
     seed: int = 3
 
 
-_hashes = WordHashes()
-
-
 def ngram_buckets(raw: bytes, buckets: int) -> np.ndarray:
-    h = _hashes.of(raw.lower().split())
+    h = word_hashes(raw.lower())
     pairs = shingle_hashes(h, 2) if len(h) > 1 else h[:0]
     return (np.concatenate([mixed(h), pairs]) % np.uint64(buckets)).astype(np.int64)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators.grouping import connected_components
 
-from .shared import WordHashes, partitions, raw_texts, shingle_hashes, staged
+from .shared import partitions, raw_texts, shingle_hashes, staged, word_hashes
 
 #: Buckets of the shingle counts: the top bits of a hash.
 BUCKET_BITS = 18
@@ -46,9 +46,6 @@ BUCKET_BITS = 18
 FILTER_BITS = 24
 NO_DOC = np.iinfo(np.int64).min
 
-_hashes = WordHashes()
-
-
 @dataclass(frozen=True)
 class Join:
     """percent: least Jaccard similarity, in percent. width: words in a shingle.
@@ -73,7 +70,7 @@ class Join:
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, A-Z in lower case."""
-    return np.unique(shingle_hashes(_hashes.of(raw.lower().split()), width))
+    return np.unique(shingle_hashes(word_hashes(raw.lower()), width))
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:

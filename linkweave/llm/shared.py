@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +36,6 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen before; at most `most` of them."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -63,6 +45,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _STEP = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b"\x20\x09\x0a\x0b\x0c\x0d")] = True
+_BYTE = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
+_STRETCH = 1 << 18
+_powers: list[np.ndarray] = []
+
+
+def _power_table(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64; at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            size = max(n, _STRETCH + 1024)
+            inverse = pow(_STEP, -1, 1 << 64)
+            _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_STEP, inverse)]
+    return _powers
+
+
+def _stretch_hashes(b: np.ndarray) -> np.ndarray:
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = _BLANK[b]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _power_table(len(b))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
+        # The length keeps words of bytes that add nothing apart.
+        return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_STEP))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: polynomials over their bytes,
+    by prefix sums over the text instead of word by word."""
+    b = np.frombuffer(raw, np.uint8)
+    if len(b) <= _STRETCH:
+        return _stretch_hashes(b)
+    parts, at = [], 0
+    while at < len(b):
+        cut = min(len(b), at + _STRETCH)
+        while cut < len(b) and not _BLANK[b[cut]]:
+            ahead = np.flatnonzero(_BLANK[b[cut : cut + _STRETCH]])
+            cut = cut + int(ahead[0]) if len(ahead) else min(len(b), cut + _STRETCH)
+        parts.append(_stretch_hashes(b[at:cut]))
+        at = cut
+    return np.concatenate(parts)
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -44,6 +44,22 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+# Word hashes
+
+
+def test_word_hashes(texts):
+    from linkweave.llm import shared
+
+    of = {}
+    r = random.Random(13)
+    for raw in [(t or "").encode() for _, t in texts] + ["".join(r.choice("ab \n\t\x0b\x00\x85é") for _ in range(n)).encode() for n in (1, 7, 300_000)] + [b"a" * 600_000 + b" b"]:
+        words, hashes = raw.split(), shared.word_hashes(raw)
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
 # Compression bands
 
 

@@ -1,5 +1,3 @@
-import random
-
 import corpus_pipeline
 import duckdb
 import pytest
@@ -12,7 +10,6 @@ SF = "/root/testdata/sf0.001"
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
-    r = random.Random(1)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
         path = f"{corpus_pipeline.staged(out, 'test-stage').inputFiles()[0].rpartition('/')[0]}"
@@ -23,7 +20,7 @@ def test_stages_keep_the_columns_of_documents(spark):
         ids = [x.doc_id for x in docs.select("doc_id").collect()]
         if name == "n-gram Jaccard join":
             assert len(ids) == len(set(ids))
-    assert docs.where("not round_trip").count() == 0 and r
+    assert docs.where("not round_trip").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -41,6 +38,6 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted((tuple(clean(r[n]) for n in names) for r in got.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_every_query_runs(spark, name):
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
