@@ -32,20 +32,33 @@ class Bands:
     A text is rejected if its whole ratio leaves the band of its length, or if
     more than `max_chunks_out` of its chunk bytes lie in chunks that leave the
     chunk band. A last chunk of under a quarter of `chunk_bytes` is too short to
-    tell and does not count, unless it is the only one."""
+    tell and does not count, unless it is the only one; a longer one is held
+    against the least ratio of its own length, if that is lower.
+
+    Least ratios lie above what words of random base64 and base85 letters give at
+    the upper end of the length, from 1,024 bytes on also of random lower-case
+    letters (whose ratios meet those of prose below that), and under prose at its
+    lower end."""
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.0, 2.2),
-        (512, 1.1, 2.2),
-        (1024, 1.2, 2.3),
-        (2048, 1.3, 2.4),
-        (4096, 1.4, 2.6),
-        (16384, 1.5, 3.0),
-        (65536, 1.5, 3.5),
-        (float("inf"), 1.5, 4.0),
+        (128, 0.0, 2.2),
+        (192, 1.1, 2.2),
+        (256, 1.15, 2.2),
+        (320, 1.22, 2.2),
+        (384, 1.27, 2.2),
+        (512, 1.33, 2.2),
+        (768, 1.38, 2.3),
+        (1024, 1.5, 2.3),
+        (1280, 1.65, 2.4),
+        (1536, 1.69, 2.4),
+        (2048, 1.72, 2.4),
+        (4096, 1.75, 2.6),
+        (16384, 1.78, 3.0),
+        (65536, 1.8, 3.5),
+        (float("inf"), 1.8, 4.0),
     )
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (1.2, 3.0)
+    chunk: tuple[float, float] = (1.72, 3.0)
     max_chunks_out: float = 0.3
     level: int = 3
     min_words: int = 50
@@ -54,6 +67,10 @@ class Bands:
     def limits(self, n_bytes: int) -> tuple[float, float]:
         return next((low, high) for upto, low, high in self.whole if n_bytes <= upto)
 
+    def chunk_limits(self, n_bytes: int) -> tuple[float, float]:
+        low, high = self.chunk
+        return (low if n_bytes >= self.chunk_bytes else min(low, self.limits(n_bytes)[0])), high
+
 
 def repeat_words(words: list[bytes], width: int = 3) -> int:
     """Words that lie in a `width`-word window found twice or more, its first place included."""
@@ -89,7 +106,10 @@ def judge(raw: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tup
         if len(chunks) > 1 and len(chunks[-1]) < bands.chunk_bytes // 4:
             chunks.pop()
         if len(chunks) > 1:
-            odd = sum(len(c) for c in chunks if not bands.chunk[0] <= len(c) / size(c) <= bands.chunk[1])
+            odd = 0
+            for c in chunks:
+                low, high = bands.chunk_limits(len(c))
+                odd += 0 if low <= len(c) / size(c) <= high else len(c)
             out = odd / sum(map(len, chunks))
         low, high = bands.limits(len(raw))
         if not base_failed:

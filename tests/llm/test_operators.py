@@ -2,11 +2,13 @@ import base64
 import hashlib
 import itertools
 import random
+import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,6 +108,35 @@ def test_quality_rules(spark, docs, texts):
     assert quality_rules.keep_good(docs.limit(0)).count() == 0
 
 
+def random_words(r, letters, n):
+    text = " ".join("".join(r.choices(letters, k=r.randint(3, 10))) for _ in range(n // 4))
+    return text.encode()[:n]
+
+
+def test_incompressible_texts_of_any_length():
+    r, lower = random.Random(7), string.ascii_lowercase
+    base64_letters, base85_letters = lower + lower.upper() + string.digits + "+/", "".join(map(chr, range(33, 118)))
+    verdict = lambda raw: quality_rules.judge(raw, quality_rules.Bands(), zstandard.ZstdCompressor(level=3))
+    for n in (336, 500, 702, 1000, 1100, 1430, 2000, 3000, 10_000, 70_000):
+        for letters in (base64_letters, base85_letters, *([lower] if n > 1024 else [])):
+            for _ in range(20):
+                got = verdict(random_words(r, letters, n))
+                assert not got[8] and got[9] in ("incompressible", "too_short"), (n, letters, got)
+        assert verdict(prose(r, n // 3).encode()[:n])[8], n
+
+
+def test_mixed_texts_and_chunks():
+    r = random.Random(8)
+    encode = lambda kind, n: getattr(base64, kind)(r.randbytes(n))[:n]
+    for kind in ("b64encode", "b85encode"):
+        for n in (2048, 5000, 10_000, 40_000):
+            clean = prose(r, n).encode()[:n]
+            for part in (0.4, 0.6, 0.9):
+                got = quality_rules.judge(clean[: int(n * (1 - part))] + b" " + encode(kind, int(n * part)), quality_rules.Bands(), zstandard.ZstdCompressor(level=3))
+                assert not got[8], (kind, n, part, got)
+            assert quality_rules.judge(clean, quality_rules.Bands(), zstandard.ZstdCompressor(level=3))[8], n
+
+
 # Mixing
 
 
