@@ -1,7 +1,7 @@
 """Quality classifier: data selection by importance resampling.
 
 Two generative models of hashed word unigrams and bigrams are counted: one of all
-raw text, one of target text (rows labelled good, a bounded sample of them). A
+raw text, one of target text (rows labelled good and not toxic, a bounded sample of them). A
 document's importance is the log of the ratio of its likelihoods; adding Gumbel
 noise to the logs and taking the k greatest keys samples k documents without
 replacement in proportion to importance (Gumbel top-k).
@@ -31,7 +31,7 @@ class Sampling:
     """buckets: of the hashed n-grams. max_target: labelled rows of the target
     model at most, in order of a hash of their id; all raw text is counted
     whatever its size. keep: share of the documents to select, by default the
-    share of good rows among the labelled ones."""
+    share of target rows (see is_target) among the labelled ones."""
 
     buckets: int = 1 << 14
     max_target: int = 20_000
@@ -45,12 +45,17 @@ def ngram_buckets(raw: bytes, buckets: int) -> np.ndarray:
     return (np.concatenate([mixed(h), pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
+def is_target() -> Column:
+    """What the target model and the share to keep both count: quality 1 and not toxic."""
+    return (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()) -> np.ndarray:
     """log p_target - log p_raw of each bucket. docs: doc_id, text; labels: doc_id,
-    quality, toxic. Target: quality 1 and not toxic. The target model is drawn
+    quality, toxic. Target: see is_target. The target model is drawn
     towards the raw one by as many counts as there are buckets, so that little
     target text, or none, gives ratios near 1."""
-    good = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) <> 1").select("doc_id").distinct()
+    good = labels.where(F.col("doc_id").isNotNull() & is_target()).select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.max_target)
     rows = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("_target", F.lit(True))), "doc_id", "left").select("text", F.coalesce("_target", F.lit(False)))
     n = how.buckets
@@ -129,7 +134,7 @@ def selection(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()):
     everything is kept (the cut is None)."""
     table = fit(docs, labels, how)
     scored = staged(docs.select("doc_id", keys(F.col("doc_id"), F.col("text"), table, how).alias("_s")).select("doc_id", "_s.*"), "importance")
-    share = how.keep if how.keep is not None else labels.agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
+    share = how.keep if how.keep is not None else labels.agg(F.avg(is_target().cast("int"))).first()[0]
     n = scored.count()
     k = n if share is None else min(n, int(np.ceil(share * n)))
     return scored, table, threshold(scored, k) if 0 < k < n else None if k else (np.iinfo(np.int64).max, None)

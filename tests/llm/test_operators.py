@@ -271,6 +271,17 @@ def test_importance(spark):
     assert importance.resample(df, labels.limit(0)).where("not kept").count() == 0
 
 
+def test_toxic_documents_are_not_good(spark):
+    r = random.Random(6)
+    clean = [(i, prose(r, r.randint(30, 200))) for i in range(300)]
+    toxic = [(1000 + i, " ".join(r.choice(WORDS) + "!" for _ in range(r.randint(30, 200)))) for i in range(100)]
+    df = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in (clean + toxic)[::2]], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in importance.resample(df, labels).collect()}
+    assert sum(got.values()) == 300
+    assert np.mean([got[i] for i, _ in clean]) > 0.97 and np.mean([got[i] for i, _ in toxic]) < 0.05
+
+
 @pytest.mark.parametrize("values", [[5], [1, 1, 1, 1], [-9, 3, 3, 7, 7, 7, 10**15], list(range(-50, 50))])
 def test_kth_greatest(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x long")
