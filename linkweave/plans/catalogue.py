@@ -14,7 +14,9 @@ from linkweave.operators import blocking as B
 from linkweave.operators import classify as K
 from linkweave.operators import compare as C
 from linkweave.operators import grouping as G
+from linkweave.operators import windows as W
 from linkweave.plans import reports
+from linkweave.plans.lineage import staged
 from linkweave.plans.linkage import Linkage
 from linkweave.sources.csv_files import project, union_fields, union_projected
 
@@ -604,6 +606,26 @@ def _(t):
     return part_dedup(t.part).groups.select("p_partkey", F.col("component.id").alias("group_least"))
 
 
+#: Documents are near copies from this similarity of their whole texts on.
+NEAR_COPY = 0.75
+
+
+def document_groups(documents: DataFrame, split: int = 1000) -> DataFrame:
+    """(doc_id, group_least): copies and near copies by the whole normalised text.
+    Copies are told by a hash of it, and one of each meets the others."""
+    texts = documents.select("doc_id", E.alnumsp(F.col("text")).alias("text")).where("text <> ''")
+    same = staged(texts.select("doc_id", F.sha2("text", 256).alias("same")), "same")
+    least = same.groupBy("same").agg(F.min("doc_id").alias("a_id"), F.count("*").alias("n"))
+    copies = same.join(least.where("n > 1"), "same").select("a_id", F.col("doc_id").alias("b_id")).where("a_id <> b_id")
+    one = staged(texts.join(least.select(F.col("a_id").alias("doc_id")), "doc_id", "left_semi"), "one-of-each")
+    counts = documents.sparkSession.sparkContext.broadcast(W.window_counts(one))
+    keys = staged(W.shared_keys(one, counts, NEAR_COPY, "doc_id"), "shared-windows")
+    blocks = B.Blocking("windows", lambda d: F.col("keys"), strict=False)
+    x = Linkage([blocks], C.Record(("text", C.Field(W.window_jaccard, "text"))), lambda c: K.rule_classify(c, lambda s: s["text"] >= NEAR_COPY), one.join(keys, "doc_id"), id_col="doc_id", split=split)
+    edges = x.matches.select(F.col("a_id.id").alias("a_id"), F.col("b_id.id").alias("b_id")).unionAll(copies)
+    return G.singles_and_groups(edges, documents.select("doc_id"), "doc_id").select("doc_id", F.col("component").alias("group_least"))
+
+
 _PREFIX = "left(CASE WHEN text <> '' THEN trim(regexp_replace(lower(text), '[^A-Za-z0-9_]+', ' ', 'g')) END, 24)"
 
 
@@ -614,7 +636,4 @@ es AS (SELECT a_id AS u, b_id AS v FROM m UNION ALL SELECT b_id, a_id FROM m), {
 SELECT doc_id, component AS group_least FROM documents LEFT JOIN comp ON node = doc_id
 """)
 def _(t):
-    docs = t.documents.select("doc_id", "n_chars", F.substring(E.alnumsp(F.col("text")), 1, 24).alias("key"))
-    ratio = lambda a, b: F.least(a, b) / F.greatest(a, b, F.lit(1))
-    x = Linkage([B.Blocking("prefix", lambda d: F.col("key"), strict=False)], C.Record(("size", C.Field(ratio, "n_chars"))), lambda c: K.rule_classify(c, lambda s: s["size"] > 0.95), docs, id_col="doc_id")
-    return x.groups.select("doc_id", F.col("component.id").alias("group_least"))
+    return document_groups(t.documents)

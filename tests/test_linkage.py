@@ -1,4 +1,7 @@
+import itertools
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from linkweave.operators import blocking as B
 from linkweave.operators import classify as K
 from linkweave.operators import compare as C
 from linkweave.operators import grouping as G
-from linkweave.plans import reports
+from linkweave.plans import catalogue, reports
 from linkweave.plans.linkage import Linkage
 from linkweave.sources.csv_files import project, read_csv, union_projected, write_csv
 from linkweave.streaming.incremental import link_stream
@@ -236,3 +239,27 @@ def test_entry_and_oracle_names(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
     json.dumps(e.oracle_sql())
+
+
+def test_document_groups_by_brute_force(spark):
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randint(0, 400)}" for _ in range(n)]
+    opening, texts = words(40), []
+    for _ in range(12):
+        body = words(r.randint(20, 300))
+        texts += [opening + body, ["new", "start"] + opening + body, body[:-1] + ["end"], body]
+        texts.append([w if r.random() > 0.06 else "x" + w for w in opening + body])
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    rows += [(900, rows[0][1].upper() + "!"), (901, rows[0][1]), (902, None), (903, "..."), (904, "one"), (905, "One "), (906, "two")]
+    norm = lambda t: " ".join(re.findall("[A-Za-z0-9_]+", (t or "").lower())).split()
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for i, t in rows if (w := norm(t))}
+    least = {i: i for i, _ in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    in_group = {i for p in linked for i in p}
+    want = sorted((i, least[i] if i in in_group else None) for i, _ in rows)
+    got = catalogue.document_groups(spark.createDataFrame(rows, "doc_id long, text string"), split=3)
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert least[1] == least[0] and len(set(least.values())) > 20
