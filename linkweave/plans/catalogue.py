@@ -490,7 +490,7 @@ WITH {_PAIRS}, {_SIM}, c0 AS (SELECT max(name) AS hn, max(price) AS hp, min(name
 SELECT a_id, b_id, y AS is_match, round(log10(({_KD('c3', 'l')} + 0.1) / ({_KD('c3', 'h')} + 0.1)), 6) AS score FROM k3, c3
 """)
 def _(t):
-    x = K.kmeans_classify(_part_sims(t), maxiter=3)
+    x = K.kmeans_classify(_part_sims(t))
     return x.select("a_id", "b_id", "is_match", F.round("score", 6).alias("score"))
 
 

@@ -1,7 +1,9 @@
 import itertools
 import json
+import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +265,24 @@ def test_document_groups_by_brute_force(spark):
     got = catalogue.document_groups(spark.createDataFrame(rows, "doc_id long, text string"), split=3)
     assert sorted(tuple(x) for x in got.collect()) == want
     assert least[1] == least[0] and len(set(least.values())) > 20
+
+def test_kmeans_query_goes_on_until_it_converges(spark, tmp_path):
+    r = random.Random(4)
+    kinds = [" ".join(r.choice("red blue green ivory pink lime navy plum tan sky".split()) for _ in range(3)) for _ in range(300)]
+    part = spark.createDataFrame([(i, k, "b", "t", 1 + i % 3, float(r.randint(900, 2000))) for i, k in enumerate(kinds)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    sims = catalogue._part_sims(catalogue.Tables(spark, str(tmp_path)))
+    v = [tuple(x.sim) for x in sims.select("sim").collect()]
+    pick = lambda f: [f(x[i] for x in v if x[i] is not None) for i in range(2)]
+    mean = lambda side: [statistics.fmean(x[i] for x, y in zip(v, labels, strict=True) if y == side and x[i] is not None) for i in range(2)]
+    far = lambda x, c: math.sqrt(sum((p - q) ** 2 for p, q in zip(x, c, strict=True) if p is not None))
+    high, low, old, passes, at = pick(max), pick(min), None, 0, []
+    while passes < 10:
+        labels = [far(x, high) < far(x, low) for x in v]
+        high, low, passes = mean(True), mean(False), passes + 1
+        at.append(labels)
+        if labels == old:
+            break
+        old = labels
+    got = catalogue.QUERIES["kmeans_classify"](spark, str(tmp_path))
+    assert got.where("is_match").count() == sum(at[-1]) != sum(at[2])
