@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import raw_texts
@@ -25,13 +25,13 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the training sample: `languages` most frequent ones, `per_language`
-    documents of each, `sample_bytes` characters of each document from a place
-    that a hash picks. hidden: units per direction; window: bytes that a training
+    """Bounds of the training sample: `per_language` documents of each language, fewer
+    (one at least) where languages are so many that they pass `max_rows`;
+    `sample_bytes` characters of each document from a place that a hash picks. hidden: units per direction; window: bytes that a training
     sequence has."""
 
-    languages: int = 64
     per_language: int = 400
+    max_rows: int = 25_600
     sample_chars: int = 1024
     hidden: int = 8
     window: int = 64
@@ -212,20 +212,23 @@ def fit(docs: DataFrame, how: Training = Training()) -> tuple[BiGru, list[str]]:
     """A network and its languages from docs (doc_id, text, lang); rows held out and
     rows without lang are not read into it. The same rows give the same network."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return BiGru(1, how.hidden, how.seed), []
+    per_language = max(1, min(how.per_language, how.max_rows // len(counts)))
     # Each language's share of a hash range: about twice the rows wanted.
     unit = 1 << 30
     h = F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(unit))
-    upto = F.create_map(*[F.lit(v) for c in counts for v in (c["lang"], min(unit, 2 * how.per_language * unit // c["count"] + unit // c["count"] * 40))])
+    upto = F.create_map(*[F.lit(v) for c in counts for v in (c["lang"], min(unit, 2 * per_language * unit // c["count"] + unit // c["count"] * 40))])
     begin = F.pmod(F.xxhash64("doc_id", F.lit(-how.seed)), F.greatest(F.length("text") - how.sample_chars, F.lit(0)) + 1) + 1
     picked = rows.select("lang", h.alias("h"), F.substring(F.col("text"), begin.cast("int"), F.lit(how.sample_chars)).alias("t"))
     picked = picked.where(F.col("h") < F.try_element_at(upto, F.col("lang")))
-    sample = sorted((r["lang"], r["h"], r["t"]) for r in picked.limit(3 * how.per_language * len(counts) + 1000).collect())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    picked = picked.where("t <> ''").withColumn("n", nth).where(F.col("n") <= per_language)
+    sample = sorted((r["lang"], r["h"], r["t"]) for r in picked.collect())
     langs, data, classes = sorted({x[0] for x in sample}), [], []
     for i, lang in enumerate(langs):
-        own = [t.encode() for x, _, t in sample if x == lang and t][: how.per_language]
+        own = [t.encode() for x, _, t in sample if x == lang and t][:per_language]
         data += own
         classes += [i] * len(own)
     net = BiGru(len(langs), how.hidden, how.seed)

@@ -545,3 +545,9 @@ def test_language_id(spark):
     assert sorted(map(repr, other)) == sorted(map(repr, out))
     assert language_id.identify(df.limit(0), how).count() == 0
     assert {x.lang_pred for x in language_id.identify(df.withColumn("lang", F.lit(None).cast("string")), how).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    data = [(i, "".join(map(chr, (0x100 + 2 * (i % 70), 0x101 + 2 * (i % 70), 32))) * 30, f"l{i % 70:02}") for i in range(700)]
+    net, langs = language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), language_id.Training(steps=1, max_rows=140))
+    assert langs == [f"l{i:02}" for i in range(70)] and len(net.p["c"]) == 70
