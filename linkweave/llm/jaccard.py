@@ -457,8 +457,19 @@ def classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The rows of docs, one of each class, that with the smallest doc_id. Of rows
-    that repeat a doc_id one stays; rows with a null doc_id all stay."""
-    kept = classes(docs, how).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, one of each class, that with the smallest doc_id (a null one
+    last). Where doc_ids are null or repeated, rows are told apart by a number of
+    their own, for which docs is written once more; rows without words are classes
+    of their own, but rows of one doc_id without words are one."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        kept = classes(docs, how).where("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), how).withColumnRenamed("doc_id", "_row")
+    x = rows.select("_row", "doc_id").join(found, "_row")
+    bare = F.col("n_shingles") == 0
+    key = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")), F.when(bare, F.col("doc_id"))]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = x.groupBy(key[0].alias("x"), key[1].alias("y")).agg(first.alias("f")).select("f._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)

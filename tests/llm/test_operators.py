@@ -551,3 +551,11 @@ def test_every_language_is_learned(spark):
     data = [(i, "".join(map(chr, (0x100 + 2 * (i % 70), 0x101 + 2 * (i % 70), 32))) * 30, f"l{i % 70:02}") for i in range(700)]
     net, langs = language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), language_id.Training(steps=1, max_rows=140))
     assert langs == [f"l{i:02}" for i in range(70)] and len(net.p["c"]) == 70
+
+
+def test_one_of_each_without_ids(spark):
+    r = random.Random(9)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    data = [(1, a), (None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (7, ""), (7, ""), (None, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows(got) == sorted([(1, a), (None, b), (5, c), (5, d), (7, ""), (None, None)], key=repr)
