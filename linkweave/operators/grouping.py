@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.plans.lineage import staged
+from linkweave.plans.lineage import Scratch, staged
 
 
 def adjacency_list(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -35,22 +35,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating large-star and small-star (Kiveris et al., 2014): O(log^2 n) rounds,
     each of a few aggregations and joins; a hub's edges meet only the hub's
-    aggregated minimum. Every round is written to the shared folder. Edges with a
-    null end are ignored; a self-loop alone makes a component of one."""
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    e = staged(e, "cc-edges")
-    loops = e.where("u = v").select(F.col("u").alias("node"))
-    nodes = staged(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    state = None
-    while True:
-        now = nodes.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-        nodes = staged(_small_star(_large_star(nodes)), "cc")
-    stars = nodes.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = nodes.select(F.col("v").alias("node")).unionAll(loops.join(stars.select("node"), "node", "left_anti")).distinct()
-    return stars.unionByName(roots.select("node", F.col("node").alias("component")))
+    aggregated minimum. Every round is written to the shared folder, and removed after
+    the next. Edges with a null end are ignored; a self-loop alone makes a component
+    of one."""
+    spark = edges.sparkSession
+    with Scratch(spark) as ends, Scratch(spark) as old:
+        e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+        e = ends.staged(e, "cc-edges")
+        loops = e.where("u = v").select(F.col("u").alias("node"))
+        nodes = old.staged(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        state = None
+        while True:
+            now = nodes.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state or not now[0]:
+                break
+            state = now
+            new = Scratch(spark)
+            nodes = new.staged(_small_star(_large_star(nodes)), "cc")
+            old.drop()
+            old.paths = new.paths
+        stars = nodes.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = nodes.select(F.col("v").alias("node")).unionAll(loops.join(stars.select("node"), "node", "left_anti")).distinct()
+        return staged(stars.unionByName(roots.select("node", F.col("node").alias("component"))), "components")
 
 
 def singles_and_groups(matches: DataFrame, records: DataFrame, id_col: str, a: str = "a_id", b: str = "b_id") -> DataFrame:
@@ -61,9 +67,15 @@ def singles_and_groups(matches: DataFrame, records: DataFrame, id_col: str, a: s
 
 def group_ids(grouped: DataFrame) -> DataFrame:
     """grouped (with `component`) with group_id 0.. in order of the least id; null for
-    singles. Numbers one row per group, not the records."""
-    from pyspark.sql import Window
-
+    singles. Numbers one row per group, not the records: groups are dealt to ranges
+    of their ids, and numbered within a range after those of the ranges before it,
+    whose counts alone meet in one task."""
+    spark = grouped.sparkSession
     ids = grouped.where("component is not null").select("component").distinct()
-    ids = ids.withColumn("group_id", F.row_number().over(Window.orderBy("component")) - 1)
+    ids = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "component").withColumn("_range", F.spark_partition_id())
+    ids = staged(ids, "groups")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ids.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("component"))
+    ids = ids.join(F.broadcast(starts), "_range").select("component", (F.col("_start") + within - 1).alias("group_id"))
     return grouped.join(ids, "component", "left")
