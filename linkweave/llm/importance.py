@@ -114,7 +114,7 @@ def kth_greatest(df: DataFrame, column: str, k: int, bins: int = 4096) -> tuple[
 
 def threshold(scored: DataFrame, k: int) -> tuple[int, int | None]:
     """(key, doc_id): rows of a greater key are in, and of that key those of a
-    doc_id up to that one. scored: doc_id, key; k of its rows or fewer."""
+    doc_id up to that one. scored: doc_id (a whole number), key; k of its rows or fewer."""
     key, need = kth_greatest(scored, "key", k)
     tied = scored.where(F.col("key") == key).select((-F.coalesce("doc_id", F.lit(-1))).alias("d"))
     if tied.count() <= need:
@@ -141,14 +141,22 @@ def selection(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()):
 
 
 def resample(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()) -> DataFrame:
-    """doc_id, log_ratio, key, kept of every row of docs (doc_id, text)."""
+    """doc_id, log_ratio, key, kept of every row of docs (doc_id, a whole number or null;
+    text). labels: doc_id, quality, toxic.
+
+    Null and empty texts have log_ratio 0 and take part by their noise. Rows of one
+    doc_id have one noise; equal keys are told apart by doc_id (a null one counts as -1),
+    so rows that repeat both at the cut are in or out together, and as many rows are
+    kept as asked or a few more. Labels that are null, repeated, or of no document
+    change nothing but the share. Texts are read whole. Other columns, whatever their
+    names, are not read. Without labels all rows are kept; empty table: no rows."""
     scored, _, cut = selection(docs, labels, how)
     return scored.withColumn("kept", F.lit(True) if cut is None else above(F.col("key"), F.col("doc_id"), cut))
 
 
 def selected_documents(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()) -> DataFrame:
-    """The rows of docs that are kept, with their columns; keys are made again, so
-    that texts are not shuffled."""
+    """The rows of docs that `resample` keeps, with their columns, whatever their names;
+    keys are made again, so that texts are not shuffled."""
     _, table, cut = selection(docs, labels, how)
     if cut is None:
         return docs

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import raw_texts
+from .shared import quoted, raw_texts, slices, tidy
 
 VERDICT = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
@@ -137,7 +137,8 @@ def verdict(text: Column, bands: Bands = Bands()) -> Column:
     @F.arrow_udf(VERDICT)
     def of(texts: pa.Array) -> pa.Array:
         compressor = zstandard.ZstdCompressor(level=bands.level)
-        rows = [judge(x or b"", bands, compressor) for x in raw_texts(texts)]
+        rows = [judge(x or b"", bands, compressor) for part in slices(texts) for x in raw_texts(part)]
+        tidy()
         names = [x.split(":")[0] for x in VERDICT[7:-1].split(",")]
         kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names) if rows else pa.array([], pa.struct(list(zip(names, kinds, strict=True))))
@@ -147,10 +148,12 @@ def verdict(text: Column, bands: Bands = Bands()) -> Column:
 
 def compression_bands(docs: DataFrame, text: str = "text", bands: Bands = Bands(), into: str = "verdict") -> DataFrame:
     """docs with the struct `into`. A column of that name is replaced; all others,
-    rows repeated or not and in any number, stay as they are."""
-    return docs.withColumn(into, verdict(F.col(f"`{text}`"), bands))
+    whatever their names, and rows, repeated or not and in any number, stay as they
+    are. Null and empty texts: see `verdict`; texts are read whole."""
+    return docs.withColumn(into, verdict(quoted(text), bands))
 
 
 def keep_good(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    return docs.where(verdict(F.col(f"`{text}`"), bands)["kept"])
+    """The rows of docs that are kept, with the columns of docs, whatever their names;
+    repeated rows are kept or rejected alike."""
+    return docs.where(verdict(quoted(text), bands)["kept"])

@@ -6,16 +6,17 @@ that is what ``bytes.split()`` splits on, so no regular expression is needed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.plans.lineage import new_path, staged, work_dir
+from linkweave.plans.lineage import Scratch, new_path, remove, staged, work_dir
 
-__all__ = ["new_path", "staged", "work_dir"]
+__all__ = ["Scratch", "new_path", "remove", "staged", "work_dir"]
 
 #: The same words as a Java / RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,12 +106,50 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def quoted(name: str) -> Column:
+    """A top-level column by its whole name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with as many '_' behind as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def fingerprints(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a hash of all columns of a row, as two longs."""
+    parts: list[Column] = []
+    for f in df.schema.fields:
+        c = quoted(f.name)
+        # Hashes pass nulls over, and know no maps and variants.
+        whole = F.to_json(F.struct(c)) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else c
+        parts += [whole, c.isNull()]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
+def slices(rows: pa.RecordBatch | pa.Array, column: int = 0, most: int = 2 << 20):
+    """Pieces of a batch, or of a string column, with about so many bytes of text each,
+    so that what Python makes of them stays small whatever the batch."""
+    sizes = pc.binary_length(rows.column(column) if isinstance(rows, pa.RecordBatch) else rows)
+    sizes = np.cumsum(np.asarray(pc.fill_null(sizes, 0), np.int64))
+    at = 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield rows.slice(at, upto - at)
+        at = upto
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
