@@ -9,7 +9,6 @@ texts, thousands of windows at a time.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,15 +19,17 @@ from pyspark.sql import functions as F
 from .shared import raw_texts
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; numerals such as a half or a Roman eight are none.
+LETTER = r"\p{L}"
 
 
 @dataclass(frozen=True)
 class Training:
     """Bounds of the training sample: `per_language` documents of each language, fewer
-    (one at least) where languages are so many that they pass `max_rows`;
-    `sample_bytes` characters of each document from a place that a hash picks. hidden: units per direction; window: bytes that a training
-    sequence has."""
+    (one at least) where languages are so many that they pass `max_rows`; of each
+    document `sample_chars` characters, from a place that a hash picks. They bound
+    the fit alone: predictions read whole texts. hidden: units per direction;
+    window: bytes that a training sequence has."""
 
     per_language: int = 400
     max_rows: int = 25_600
@@ -211,7 +212,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, how: Training = Training()) -> tuple[BiGru, list[str]]:
     """A network and its languages from docs (doc_id, text, lang); rows held out and
     rows without lang are not read into it. The same rows give the same network."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return BiGru(1, how.hidden, how.seed), []
@@ -243,7 +244,7 @@ def predict(text: Column, net: BiGru, langs: list[str]) -> Column:
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(texts: pa.Array) -> pa.Array:
         raw = raw_texts(texts)
-        use = [i for i, t in enumerate(raw) if t and langs and LETTER.search(t.decode("utf-8", "replace"))]
+        use = [i for i, t in enumerate(raw) if t and langs]
         lang, score = [UNKNOWN] * len(raw), np.zeros(len(raw))
         if use:
             p = pooled(net, [raw[i] for i in use])
@@ -251,11 +252,16 @@ def predict(text: Column, net: BiGru, langs: list[str]) -> Column:
                 lang[i], score[i] = langs[int(row.argmax())], min(1.0, float(row.max()))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    return of(text)
+    return of(F.when(text.rlike(LETTER), text))
 
 
 def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang).
+
+    A null doc_id is held out. Null, empty and letterless texts get 'und' and 0, and so
+    do all where no row has a lang to learn. Texts are read whole, however long;
+    repeated rows are answered each, and equal texts alike. Other columns, whatever
+    their names, are not read. Empty table: no rows."""
     net, langs = fit(docs, how)
     x = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), net, langs).alias("_p"))
     return x.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
