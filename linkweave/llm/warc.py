@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, staged
+from .shared import new_path, quoted, staged
 
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 CAPTURES = ("response", "revisit", "resource")
@@ -69,11 +70,14 @@ def _record(kind: Column | str, rid: Column, headers: list[tuple[str, Column]],
     return F.concat(*head, F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 200_000, min_revisit_bytes: int = 0) -> None:
-    """WARC 1.1 archives (gzip) of pages (page_id, url, html) under path.
+def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", pages_per_file: int = 20_000, min_revisit_bytes: int = 0) -> None:
+    """WARC 1.1 archives (gzip, a file one member of `pages_per_file` pages at most)
+    of pages (page_id, url, html) under path.
 
     Null html is an empty payload; null urls give no WARC-Target-URI; blanks and
-    control characters of a url are escaped. Other columns are not written."""
+    control characters of a url are escaped. Payloads are written whole, however long;
+    repeated rows repeat their records. Other columns, whatever their names, are not
+    written. Empty table: archives without records."""
     x = with_roles(pages, min_revisit_bytes)
     page, url, digest, html = F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("html")
     revisit = F.col("first").isNotNull()
@@ -100,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
     facts = F.concat(*(F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit("")) for name, value in (("page_id", page), ("refers_to_page_id", F.col("first.page_id")))))
     metadata = _record("metadata", record_id("metadata", page, url, digest), [("WARC-Target-URI", uri), near], "application/warc-fields", facts, date)
     end = F.lit("\r\n\r\n")
-    x.select(F.concat(request, end, capture, end, metadata)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    x.select(F.concat(request, end, capture, end, metadata)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
 
 
 def _fields(head: bytes) -> list[tuple[str, str]]:
@@ -115,10 +119,13 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
 
 
 def parse_record(text: bytes) -> tuple | None:
-    """The record after its version line; None if text ends before its Content-Length."""
+    """The record after its version line; None if text ends before its Content-Length.
+    A Content-Length that is no number raises ValueError."""
     head, _, rest = text.partition(b"\r\n\r\n")
     fields = _fields(head)
     by = dict(reversed(fields))
+    if not re.fullmatch("[0-9]+", by.get("content-length", "0")):
+        raise ValueError(f"record {by.get('warc-record-id')}: Content-Length {by['content-length']!r}")
     length = int(by.get("content-length", 0))
     if len(rest) < length:
         return None
@@ -129,7 +136,8 @@ def parse_record(text: bytes) -> tuple | None:
         more = _fields(http.partition(b"\r\n")[2])
         n = len(payload)
         if kind == "revisit":
-            n, payload = int(dict(more).get("content-length", n)), None
+            told = dict(more).get("content-length", "")
+            n, payload = int(told) if re.fullmatch("[0-9]+", told) else n, None
         else:
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     elif kind == "resource":
@@ -174,30 +182,36 @@ def assemble(records: DataFrame) -> DataFrame:
     """(capture_id, capture, request, metadata, copies): one row per capture, each
     part a struct of RECORD's columns, null where there is none.
 
-    Request and metadata records may name the capture, each other, or be named by
-    it. Where all of them name a capture, that is an equi-join on its identifier;
-    if some don't, the identifiers' connected components decide. Several parts of
-    one kind: the one with the smallest record_id. `copies` counts records that
-    share the capture's identifier, as repeated pages do. Records without a
-    capture give no row."""
-    is_capture = F.col("warc_type").isin(*CAPTURES)
-    captures = records.where(is_capture).select("record_id")
-    linked = records.where(~is_capture).select(F.try_element_at("concurrent_to", F.lit(1)).alias("record_id"))
-    key = F.when(is_capture, F.col("record_id")).otherwise(F.try_element_at("concurrent_to", F.lit(1)))
-    x = records.withColumn("_key", key)
-    stray = linked.where("record_id is not null").join(captures, "record_id", "left_anti")
-    if not stray.isEmpty() or not records.where(is_capture & (F.size("concurrent_to") > 0)).isEmpty():
+    A request or metadata record belongs to every capture that its concurrent-to
+    identifiers name: an equi-join on the identifier. Where some name none, a record
+    also belongs to the captures that name it, and one that neither names a capture
+    nor is named by one to those of its identifiers' connected component, if they
+    have no such part of their own. Several parts of one kind: the one with the
+    smallest record_id. `copies` counts records that share the capture's identifier,
+    as repeated pages do. Records without an identifier, or without a capture, give no
+    row. Empty table: no rows."""
+    is_capture = F.coalesce(F.col("warc_type").isin(*CAPTURES), F.lit(False))
+    part = F.struct("record_id", *[quoted(c) for c in records.columns if c != "record_id"])
+    rows = records.select(F.explode(F.when(is_capture, F.array("record_id")).otherwise(F.array_distinct("concurrent_to"))).alias("key"), part.alias("p"), F.lit(0).alias("far"))
+    captures, others = records.where(is_capture & F.col("record_id").isNotNull()), records.where(~is_capture)
+    named = captures.select(F.col("record_id").alias("key"), F.explode("concurrent_to").alias("record_id"))
+    targets = others.select("record_id", F.explode("concurrent_to").alias("key"))
+    ids = captures.select(F.col("record_id").alias("key"))
+    if not named.isEmpty() or not targets.join(ids, "key", "left_anti").isEmpty():
         from linkweave.operators.grouping import connected_components
 
+        linked = targets.join(ids, "key", "left_semi").select("record_id").unionAll(named.select("record_id")).distinct()
+        strays = others.join(linked, "record_id", "left_anti")
+        rows = rows.unionByName(others.join(named, "record_id").select("key", part.alias("p"), F.lit(0).alias("far")))
         edges = records.select(F.col("record_id").alias("src"), F.explode("concurrent_to").alias("dst"))
         labels = connected_components(edges).withColumnRenamed("node", "record_id")
-        roots = captures.join(labels, "record_id", "left").groupBy(F.coalesce("component", "record_id").alias("component")).agg(F.min("record_id").alias("_root"))
-        x = records.join(labels, "record_id", "left").withColumn("component", F.coalesce("component", "record_id")).join(roots, "component", "left")
-        x = x.withColumn("_key", F.when(is_capture, F.col("record_id")).otherwise(F.col("_root")))
-    part = F.struct("record_id", *[c for c in records.columns if c != "record_id"])
-    of = lambda kind: F.min_by(F.when(kind, part), F.when(kind, F.col("record_id")))
-    out = x.where("_key is not null").groupBy(F.col("_key").alias("capture_id")).agg(
-        of(is_capture).alias("capture"), of(F.col("warc_type") == "request").alias("request"), of(F.col("warc_type") == "metadata").alias("metadata"), F.count_if(is_capture).alias("copies")
+        # Of each kind a component needs only its least stray, whatever the number of both.
+        least = strays.join(labels, "record_id").groupBy("component", "warc_type").agg(F.min_by(part, F.col("record_id")).alias("p"))
+        rows = rows.unionByName(captures.select("record_id").distinct().join(labels, "record_id").join(least, "component").select(F.col("record_id").alias("key"), "p", F.lit(1).alias("far")))
+    kind, is_one = F.col("p.warc_type"), F.coalesce(F.col("p.warc_type").isin(*CAPTURES), F.lit(False))
+    of = lambda fits: F.min_by(F.when(fits, F.col("p")), F.when(fits, F.struct("far", "p.record_id")))
+    out = rows.where("key is not null").groupBy(F.col("key").alias("capture_id")).agg(
+        of(is_one).alias("capture"), of(kind == "request").alias("request"), of(kind == "metadata").alias("metadata"), F.count_if(is_one).alias("copies")
     )
     return out.where("capture is not null")
 
@@ -205,7 +219,9 @@ def assemble(records: DataFrame) -> DataFrame:
 def captured(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Pages written to archives in the shared folder, read back and assembled: one
     row per page with page_id, payload_bytes, payload_digest, record_type,
-    refers_to (page_id), target_uri. Repeated rows stay repeated; empty table: no rows."""
+    refers_to (page_id), target_uri. Null html is an empty payload; null ids and urls
+    stay null; repeated rows stay repeated. Other columns are not read. Empty table:
+    no rows."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_revisit_bytes=min_revisit_bytes)
