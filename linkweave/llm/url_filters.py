@@ -3,12 +3,16 @@
 A pattern rule is filed under the rarest of its literal tokens: runs of
 [a-z0-9] that every match must contain whole. A URL's own tokens then fetch the
 few rules that could match, and only those run. Rules without such a token are
-few by design, and run on every URL.
+few by design, and run on every URL. Tables and compiled patterns are made once
+in a worker; lists of over `BLOCK` rules are judged in blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from re import _constants as K
 from re import _parser
@@ -17,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are driver-side and go to every task, so their number is bounded.
-MAX_RULES = 200_000
+from .shared import free_name, quoted
+
+#: Rules that are sent to tasks at once.
+BLOCK = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -60,6 +66,28 @@ def parse_rule(text: str) -> HostRule:
     return HostRule(verdict, host.translate(_FOLD), slash + path)
 
 
+def read_rules(lines: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(host rules, patterns) of a rule list: a rule a line, 'allow host/path',
+    'block host/path' or 'pattern regular-expression'. Blank lines and those that
+    begin with '#' say nothing."""
+    hosts, patterns = [], []
+    for n, line in enumerate(lines, 1):
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        kind, _, rest = line.partition(" ")
+        try:
+            if kind == "pattern":
+                re.compile(rest.strip(), re.ASCII)
+                patterns.append(rest.strip())
+            else:
+                hosts.append(f"{kind} {rest.strip()}")
+                parse_rule(hosts[-1])
+        except (ValueError, re.error) as e:
+            raise ValueError(f"line {n}: {e}") from e
+    return tuple(hosts), tuple(patterns)
+
+
 def _closed(item) -> bool:
     """Whether a pattern item never leaves an [a-z0-9] next to a literal run."""
     op, arg = item
@@ -96,7 +124,7 @@ def token_counts(urls: DataFrame, url: str, tokens: set[str]) -> dict[str, int]:
     if not tokens:
         return {}
     wanted = urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
-    rows = urls.select(F.explode(url_tokens(F.col(f"`{url}`"))).alias("token"))
+    rows = urls.select(F.explode(url_tokens(quoted(url))).alias("token"))
     return {t: n for t, n in rows.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}
 
 
@@ -114,14 +142,22 @@ class Index:
             else:
                 self.always.append(i)
 
-    def matcher(self):
-        compiled = [re.compile(p, re.ASCII) for p in self.patterns]
+    def matcher(self, ran: list[int] | None = None):
+        """Function of a URL to the first rule, in the order given, that matches.
+        Patterns are compiled when first fetched. ran: takes the number of each that runs."""
+        compiled: dict[int, re.Pattern] = {}
+
+        def matches(i: int, low: str) -> bool:
+            if i not in compiled:
+                compiled[i] = re.compile(self.patterns[i], re.ASCII)
+            if ran is not None:
+                ran.append(i)
+            return compiled[i].search(low) is not None
 
         def first(url: str) -> str | None:
-            """The first rule, in the order given, that matches."""
             low = url.translate(_FOLD)
             found = {i for t in set(re.split("[^a-z0-9]+", low)) for i in self.by_token.get(t, ())}
-            return next((self.patterns[i] for i in sorted(found.union(self.always)) if compiled[i].search(low)), None)
+            return next((self.patterns[i] for i in sorted(found.union(self.always)) if matches(i, low)), None)
 
         return first
 
@@ -150,27 +186,56 @@ def host_matcher(rules: list[HostRule]):
     return longest
 
 
-def filter_urls(urls: DataFrame, url: str = "url", rules: tuple[str, ...] = (), patterns: tuple[str, ...] = PATTERNS, into: str = "judged") -> DataFrame:
+_made: dict[bytes, tuple] = {}
+
+
+def _matchers(key: bytes, data: bytes) -> tuple:
+    """What a worker needs to judge with one block of rules; made once."""
+    if key not in _made:
+        if len(_made) >= 8:
+            _made.clear()
+        hosts, index = pickle.loads(data)
+        _made[key] = (host_matcher(hosts), index.matcher())
+    return _made[key]
+
+
+def filter_urls(urls: DataFrame, url: str = "url", rules: tuple[str, ...] = (), patterns: tuple[str, ...] = PATTERNS, into: str = "judged", block: int = BLOCK) -> DataFrame:
     """urls with the struct `into`: host, path, rule, pattern, verdict.
 
-    The longest host rule that fits decides (`rule`); else the first pattern that
-    matches blocks (`pattern`); else the verdict is allow. Null URLs and those
-    without '://' have an empty host and path, fit no host rule, and null ones
-    match no pattern. No shuffle of rows; a column named `into` is replaced."""
-    if len(rules) + len(patterns) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    The longest host rule that fits decides (`rule`; of equally long ones the last in
+    code-point order); else the first pattern that matches blocks (`pattern`); else the
+    verdict is allow. Null URLs and those without '://' have an empty host and path, fit
+    no host rule, and null ones match no pattern; URLs are read whole. No shuffle of
+    rows; a column named `into` is replaced, all others stay, whatever their names, and
+    so do repeated rows. Empty table: no rows."""
     hosts = [parse_rule(r) for r in rules]
-    index = Index(patterns, token_counts(urls, url, {t for p in patterns for t in literal_tokens(p)}))
-
-    @F.arrow_udf("struct<host:string,path:string,rule:string,pattern:string,verdict:string>")
-    def judge(column: pa.Array) -> pa.Array:
-        longest, first, out = host_matcher(hosts), index.matcher(), []
-        for u in column.to_pylist():
-            host, path = split_url(u)
-            r = longest(host, path)
-            p = None if r or u is None else first(u)
-            out.append((host, path, r and str(r), p, r.verdict if r else "block" if p else "allow"))
-        names = ["host", "path", "rule", "pattern", "verdict"]
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(5)], names)
-
-    return urls.withColumn(into, judge(F.col(f"`{url}`")))
+    counts = token_counts(urls, url, {t for p in patterns for t in literal_tokens(p)})
+    blocks = [(hosts[i : i + block], Index(patterns[i : i + block], counts)) for i in range(0, max(len(hosts), len(patterns), 1), block)]
+
+    def judged(part: tuple) -> Column:
+        data = urls.sparkSession.sparkContext.broadcast(pickle.dumps(part))
+        key = hashlib.sha256(data.value).digest()
+
+        @F.arrow_udf("struct<host:string,path:string,rule:string,pattern:string,verdict:string>")
+        def judge(column: pa.Array) -> pa.Array:
+            longest, first = _matchers(key, data.value)
+            out = []
+            for u in column.to_pylist():
+                host, path = split_url(u)
+                r = longest(host, path)
+                p = None if r or u is None else first(u)
+                out.append((host, path, r and str(r), p, r.verdict if r else "block" if p else "allow"))
+            names = ["host", "path", "rule", "pattern", "verdict"]
+            return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(5)], names)
+
+        return judge(quoted(url))
+
+    if len(blocks) == 1:
+        return urls.withColumn(into, judged(blocks[0]))
+    found = [free_name(urls, f"judged{i}") for i in range(len(blocks))]
+    x = urls.withColumns({n: judged(b) for n, b in zip(found, blocks, strict=True)})
+    rule = F.greatest(*(F.when(F.col(f"{n}.rule").isNotNull(), F.struct(F.length(F.col(f"{n}.rule")).alias("n"), F.col(f"{n}.rule").alias("rule"), F.col(f"{n}.verdict").alias("verdict"))) for n in found))
+    pattern = F.when(rule["rule"].isNull(), F.coalesce(*(F.col(f"{n}.pattern") for n in found)))
+    verdict = F.coalesce(rule["verdict"], F.when(pattern.isNotNull(), "block").otherwise("allow"))
+    first = F.col(found[0])
+    return x.withColumn(into, F.struct(first["host"].alias("host"), first["path"].alias("path"), rule["rule"].alias("rule"), pattern.alias("pattern"), verdict.alias("verdict"))).drop(*found)
