@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators.grouping import connected_components
 
-from .shared import partitions, raw_texts, shingle_hashes, staged, word_hashes
+from .shared import free_name, partitions, quoted, raw_texts, shingle_hashes, staged, word_hashes
 
 #: Buckets of the shingle counts: the top bits of a hash.
 BUCKET_BITS = 18
@@ -460,16 +460,19 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows of docs, one of each class, that with the smallest doc_id (a null one
     last). Where doc_ids are null or repeated, rows are told apart by a number of
     their own, for which docs is written once more; rows without words are classes
-    of their own, but rows of one doc_id without words are one."""
+    of their own, but rows of one doc_id without words are one. All columns stay,
+    whatever their names; an empty table gives no rows."""
     n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    every = [quoted(c) for c in docs.columns]
     if n == ids:
         kept = classes(docs, how).where("doc_id = component_id").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
-    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), how).withColumnRenamed("doc_id", "_row")
-    x = rows.select("_row", "doc_id").join(found, "_row")
+        return docs.join(kept, "doc_id", "left_semi").select(every)
+    row = free_name(docs, "row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    found = classes(rows.select(F.col(row).alias("doc_id"), "text"), how).withColumnRenamed("doc_id", "nth")
+    x = rows.select(F.col(row).alias("nth"), "doc_id").join(found, "nth")
     bare = F.col("n_shingles") == 0
     key = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")), F.when(bare, F.col("doc_id"))]
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = x.groupBy(key[0].alias("x"), key[1].alias("y")).agg(first.alias("f")).select("f._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))
+    kept = x.groupBy(key[0].alias("x"), key[1].alias("y")).agg(first.alias("f")).select(F.col("f.nth").alias(row))
+    return rows.join(kept, row, "left_semi").select(every)

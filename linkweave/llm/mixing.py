@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, partitions, staged
+from .shared import fingerprints, free_name, n_words, partitions, quoted, staged
 
 
 def source_key(source: Column) -> Column:
@@ -50,17 +50,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return x.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def systematic(sized: DataFrame, seed: int = 20) -> DataFrame:
+def systematic(sized: DataFrame, seed: int = 20, then: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target) with `copies` (long): how often
     each row is taken. sized must be a written table: it is read twice.
 
-    Rows that tie in (source, size, doc_id) are alike, and so are exchangeable."""
-    pids = sized.repartitionByRange(partitions(sized), F.col("source").asc_nulls_last(), "size", "doc_id")
+    Rows that tie in (source, size, doc_id) stand in order of the columns `then`; those
+    that tie in all are alike, and so are exchangeable."""
+    order = ["size", "doc_id", *then]
+    pids = sized.repartitionByRange(partitions(sized), F.col("source").asc_nulls_last(), *order)
     placed = staged(pids.withColumn("_pid", F.spark_partition_id()), "mix-placed")
     counts = placed.groupBy("_pid", "source").agg(F.count("*").alias("_n"))
     along = Window.partitionBy("source").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("_pid").alias("_p"), source_key(F.col("source")).alias("_s"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_pid", "_s").orderBy("size", "doc_id")
+    within = Window.partitionBy("_pid", "_s").orderBy(*order)
     x = placed.withColumn("_s", source_key(F.col("source")))
     x = x.join(starts.withColumnRenamed("_p", "_pid"), ["_pid", "_s"])
     x = x.withColumn("_i", F.col("_start") + F.row_number().over(within) - 1)
@@ -70,28 +72,44 @@ def systematic(sized: DataFrame, seed: int = 20) -> DataFrame:
     return x.withColumn("copies", copies.cast("long")).drop("_pid", "_s", "_start", "_i")
 
 
+def _mixed(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20, then: tuple[str, ...] = ()) -> DataFrame:
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    key = source_key(F.col("source"))
+    by = sources.select(key.alias("_s"), "source_size", "target")
+    return systematic(staged(sized.withColumn("_s", key).join(by, "_s").drop("_s"), "mix-targets"), seed, then)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
     """For each row of docs (doc_id, text, source): doc_id, source, size,
     source_size, target, copies.
 
-    Size is the number of words (null and empty texts: 0; a source of such texts
-    has target 0 and is not taken). Null ids and sources are values like any
-    other; repeated rows count each. Empty table: no rows."""
+    Size is the number of words of the whole text (null and empty texts: 0; a source
+    of such texts has target 0 and is not taken). Null ids and sources are values like
+    any other; repeated rows count each; rows that tie in source, size and id are
+    exchangeable. Other columns, whatever their names, are not read. Empty table: no
+    rows."""
     sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sized")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    key = source_key(F.col("source"))
-    by = sources.select(key.alias("_s"), "source_size", "target")
-    return systematic(staged(sized.withColumn("_s", key).join(by, "_s").drop("_s"), "mix-targets"), seed)
+    return _mixed(sized, weights, most, seed)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    parts = [F.coalesce(F.concat(F.lit("d"), F.col(c).cast("string")), F.lit("n")) for c in ("doc_id", "source")]
-    key = lambda size: F.concat_ws("|", parts[0], size.cast("string"), parts[1])
-    taken = mix(docs, **options).withColumn("_k", key(F.col("size")))
-    # Rows of one key are alike for the mix; their copies are dealt out evenly.
-    taken = taken.groupBy("_k").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    x = docs.withColumn("_k", key(n_words(F.col("text")))).join(taken, "_k")
-    x = x.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_k")))
-    x = x.withColumn("_c", F.expr("_copies div _rows + if(_i <= _copies % _rows, 1, 0)")).where("_c > 0")
-    return x.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(docs.columns)
+    """The rows of docs, each as often as the mix takes it, with the columns of docs
+    whatever their names. Options as of `mix`.
+
+    Rows are known by 128 bits of a hash of all their columns, which also orders those
+    that tie in source, size and id: reruns and other partitions give the same rows.
+    Repeated rows are exchangeable; what the mix takes of them is emitted from one,
+    found by an aggregation that combines before the shuffle. Null and empty texts
+    have size 0 and are taken like others where their source is. Empty table: no rows."""
+    high, low, copies = (free_name(docs, x) for x in ("row_high", "row_low", "row_copies"))
+    a, b = fingerprints(docs)
+    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), a.alias("high"), b.alias("low")), "mix-sized")
+    taken = _mixed(sized, **options, then=("high", "low"))
+    taken = taken.groupBy("high", "low").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = staged(taken, "mix-taken")
+    x = docs.withColumns({high: a, low: b})
+    if not taken.where("n > 1").isEmpty():
+        x = x.dropDuplicates([high, low])
+    x = x.join(taken.where("copies > 0").select(F.col("high").alias(high), F.col("low").alias(low), F.col("copies").alias(copies)), [high, low])
+    rows = [quoted(c) for c in docs.columns]
+    return x.select(*rows, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).select(rows)
