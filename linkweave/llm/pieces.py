@@ -7,20 +7,29 @@ infinity otherwise: the one path of weight 0 is the BPE encoding, because the
 first merge across a boundary would also happen between its two pieces alone.
 
 The state at a position is the last piece begun before it. A chunk of a text is
-the matrix of best weights from states at its start to states at its end; matrices
-multiply associatively (max, +), so a giant document's chunks are worked out
-apart, multiplied, and each traced back apart between its two known states.
+the matrix of best weights from states at its start to states at its end. Matrices
+multiply associatively (max, +): those of a giant document's chunks are multiplied
+`fan` at a time, in as many rounds over the cluster as that takes, until one is left.
+The best end state then goes down the same rounds, each block of `fan` finding its
+inner states between its two known ones, and at last each chunk is traced back apart.
 
 No piece reaches over a blank that follows a non-blank. So within a chunk all
 paths meet at such blanks; between the first and the last of them words are
-encoded one by one (and remembered), and only the ends need the lattice. A
+encoded one by one (and remembered), and only the ends need the lattice. What lies
+between them adds the same to all weights, and is left out of the matrices. A
 document of one chunk is all such words.
+
+Weights are whole numbers, so sums are exact in any order. Unigram paths of equal
+score are told apart by two more sums in lower digits: of a constant for each piece,
+and of that constant times its place. A stretch moved elsewhere keeps its best path,
+so a text has the same ids however it is cut.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import re
+import zlib
 from collections.abc import Iterable
 from functools import reduce
 
@@ -30,45 +39,55 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import free_name, quoted, slices, staged, tidy
 
 BLANK = "▁"
 State = tuple[int, int]  # begin and end of the last piece; (0, 0) before the text
-Matrix = dict[State, dict[State, float]]
+Matrix = dict[State, dict[State, int]]  # no entry: no path
 START: State = (0, 0)
+#: Digits of a weight below those of the score: a sum of pieces' constants, and one
+#: of constants times places.
+SUM_BITS, PLACE_BITS, SCORE_UNIT = 64, 96, 1 << 20
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
     out: Matrix = {}
     for x, row in a.items():
-        to: dict[State, float] = {}
+        to: dict[State, int] = {}
         for y, w in row.items():
             for z, v in b.get(y, {}).items():
-                if w + v > to.get(z, -np.inf):
+                if z not in to or w + v > to[z]:
                     to[z] = w + v
         if to:
             out[x] = to
     return out
 
 
-def boundary_states(matrices: list[Matrix], ends: int) -> list[State]:
-    """The states before, between and after chunks on the best path from START to a
-    piece that ends at `ends`."""
-    reach: list[dict[State, float]] = [{START: 0.0}]
-    for m in matrices:
-        reach.append(product({START: reach[-1]}, m).get(START, {}))
-    state = max((s for s in reach[-1] if s[1] == ends), key=lambda s: (reach[-1][s], s))
-    out = [state]
-    for before, m in zip(reach[-2::-1], matrices[::-1], strict=True):
-        state = max((s for s in before if state in m.get(s, {})), key=lambda s: (before[s] + m[s][state], s))
-        out.append(state)
+def combined(matrices: Iterable[Matrix]) -> Matrix:
+    return reduce(product, matrices)
+
+
+def best_end(m: Matrix) -> State:
+    """The state after a whole text on the best path; m is the text's matrix."""
+    return max(m[START], key=lambda s: (m[START][s], s))
+
+
+def inner_states(matrices: list[Matrix], begin: State, end: State) -> list[State]:
+    """The states before, between and after chunks on the best path from begin to end."""
+    reach: list[dict[State, int]] = [{begin: 0}]
+    for m in matrices[:-1]:
+        reach.append(product({begin: reach[-1]}, m)[begin])
+    out = [end]
+    for before, m in zip(reach[::-1], matrices[::-1], strict=True):
+        end = max((s for s in before if end in m.get(s, {})), key=lambda s: (before[s] + m[s][end], s))
+        out.append(end)
     return out[::-1]
 
 
 class Model:
     """A SentencePiece model (BPE or unigram) with identity normalisation."""
 
-    def __init__(self, proto: bytes, most: int = 200_000):
+    def __init__(self, proto: bytes, most: int = 50_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -81,13 +100,16 @@ class Model:
         if any(p.type == kind.USER_DEFINED for p in m.pieces):
             raise ValueError("user-defined pieces are not supported")
         self.unigram = m.trainer_spec.model_type == 1
-        self.score = {p.piece: p.score for p in m.pieces if p.type == kind.NORMAL}
+        score = {p.piece: p.score for p in m.pieces if p.type == kind.NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == kind.NORMAL}
         self.unk = m.trainer_spec.unk_id
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == kind.BYTE}
-        self.longest = max(map(len, self.score), default=1)
-        self.worst = min(self.score.values(), default=0.0) - 10.0
-        self.meets = all(BLANK not in p.lstrip(BLANK) for p in self.score)
+        if len(self.bytes) != 256:
+            raise ValueError("only models with a piece for each byte are supported")
+        self.score = score
+        self.longest = max(map(len, score), default=1)
+        self.worst = min(score.values(), default=0.0) - 10.0
+        self.meets = all(BLANK not in p.lstrip(BLANK) for p in score)
         self.dtype = np.dtype("<u2" if len(m.pieces) <= 1 << 16 else "<u4")
         self.text = [b"" if p.type in (kind.CONTROL, kind.UNUSED) else bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() for p in m.pieces]
         self.text[self.unk] = " ⁇ ".encode()
@@ -107,25 +129,28 @@ class Model:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def step(self, before: str, piece: str) -> float:
-        """Weight of a piece after another (after '' at a place where all paths meet)."""
+    def step(self, before: str, piece: str, at: int) -> int | None:
+        """Weight of a piece at a place of the text, after another (after '' where all
+        paths meet); None if it can't stand there."""
         if self.unigram:
-            return self.score.get(piece, self.worst)
+            c = (zlib.crc32(piece.encode()) & 0xFFFFF) + 1
+            score = round(self.score.get(piece, self.worst) * SCORE_UNIT)
+            return (score << (SUM_BITS + PLACE_BITS)) + (c << PLACE_BITS) + c * at
         key = (before, piece)
         if key not in self.pairs:
             if len(self.pairs) > self.most:
                 self.pairs.clear()
             self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return 0.0 if self.pairs[key] else -np.inf
+        return 0 if self.pairs[key] else None
 
     def nexts(self, s: str, at: int) -> Iterable[int]:
         """Ends of the pieces that begin at a place; a character without a piece is one."""
         yield from (e for e in range(at + 1, min(len(s), at + self.longest) + 1) if s[at:e] in self.score or e == at + 1)
 
-    def paths(self, s: str, begin: State, stop: int) -> dict[State, tuple[float, State | None]]:
+    def paths(self, s: str, begin: State, stop: int, shift: int = 0) -> dict[State, tuple[int, State | None]]:
         """Best weight of, and state before, each state reachable from begin through
-        pieces that begin before stop. Places are relative to s."""
-        best: dict[State, tuple[float, State | None]] = {begin: (0.0, None)}
+        pieces that begin before stop. Places are relative to s, which begins at `shift`."""
+        best: dict[State, tuple[int, State | None]] = {begin: (0, None)}
         by_end: dict[int, list[State]] = {begin[1]: [begin]}
         for at in range(begin[1], stop):
             for x in by_end.get(at, ()):
@@ -133,12 +158,13 @@ class Model:
                 if self.meets and at and s[at] == BLANK != s[at - 1]:
                     before = ""
                 for e in self.nexts(s, at):
-                    w = best[x][0] + self.step(before, s[at:e])
-                    y = (at, e)
-                    if w > best.get(y, (-np.inf,))[0]:
-                        if y not in best:
-                            by_end.setdefault(e, []).append(y)
-                        best[y] = (w, x)
+                    w, y = self.step(before, s[at:e], at + shift), (at, e)
+                    if w is None:
+                        continue
+                    if y not in best:
+                        by_end.setdefault(e, []).append(y)
+                    if y not in best or best[x][0] + w > best[y][0]:
+                        best[y] = (best[x][0] + w, x)
         return best
 
     @staticmethod
@@ -162,18 +188,25 @@ class Model:
         if len(seen) > self.most:
             seen.clear()
         new = list({w for w in words if w and w not in seen})
-        for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            seen[w] = np.array(ids, self.dtype).tobytes()
-        if "" not in seen:
-            seen[""] = self.ids_of(BLANK)
-        return [seen[w] for w in words]
+        if self.unigram:
+            ids = [self._lattice(BLANK + w.replace(" ", BLANK)) for w in new]
+        else:
+            ids = [np.array(x, self.dtype).tobytes() for x in self.sp.encode(new, num_threads=1)]
+        got = dict(zip(new, ids, strict=True))
+        got[""] = self.ids_of(BLANK)
+        seen.update((w, x) for w, x in got.items() if len(w) <= 64)
+        return [got[w] if w in got else seen[w] for w in words]
 
     def ids_of(self, piece: str) -> bytes:
-        if piece in self.ids:
-            return np.array([self.ids[piece]], self.dtype).tobytes()
-        ids = [self.bytes[b] for b in piece.encode()] if len(self.bytes) == 256 else [self.unk]
+        ids = [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()]
         return np.array(ids, self.dtype).tobytes()
 
+    def _lattice(self, s: str) -> bytes:
+        """Ids of a stretch between places where all paths meet."""
+        paths = self.paths(s, START, len(s))
+        end = max((y for y in paths if y[1] == len(s)), key=lambda y: (paths[y][0], y))
+        return b"".join(self.ids_of(s[b:e]) for b, e in self.traced(paths, end))
+
     def words(self, s: str) -> bytes:
         """Ids of a stretch that begins with a blank and ends before one, or at the end."""
         if not s:
@@ -203,47 +236,41 @@ class Model:
         """All states that a place could have: pieces begun before it that reach it."""
         return [(b, e) for b in range(max(0, at - self.longest), at) for e in self.nexts(s, b) if e >= at]
 
-    def transfer(self, s: str, left: int, size: int, first: bool) -> Matrix:
-        """The chunk's matrix, in places relative to s."""
-        lo, hi = left, left + size
-        ins = [START] if first else self.states_at(s, lo)
+    def transfer(self, s: str, left: int, size: int, at: int) -> Matrix:
+        """The matrix of the chunk that begins at place `at` of its text; its states are
+        in places of the text."""
+        lo, hi, shift = left, left + size, at - left
+        ins = [START] if not at else self.states_at(s, lo)
         meet = self.meeting(s, lo, hi - 1)
+        ends = lambda paths: {y: w for y, (w, _) in paths.items() if y[0] < hi <= y[1]}
         if meet is None:
-            rows = {x: {y: w for y, (w, _) in self.paths(s, x, hi).items() if y[0] < hi <= y[1]} for x in ins}
-            return {x: row for x, row in rows.items() if row}
+            rows = {x: ends(self.paths(s, x, hi, shift)) for x in ins}
+            return moved({x: row for x, row in rows.items() if row}, shift)
         p, q = meet
-        middle = 0.0
-        if self.unigram:
-            middle = self.middle_weight(s[p:q])
-        tail = {y: w for y, (w, _) in self.paths(s, (q, q), hi).items() if y[0] < hi <= y[1]}
-        out: Matrix = {}
+        tail, out = ends(self.paths(s, (q, q), hi, shift)), {}
         for x in ins:
-            w = 0.0 if x[1] == p else max((w for y, (w, _) in self.paths(s, x, p).items() if y[1] == p), default=-np.inf)
-            if w > -np.inf and x[1] <= p:
-                out[x] = {y: w + middle + v for y, v in tail.items()}
-        return out
-
-    def middle_weight(self, s: str) -> float:
-        ids = np.frombuffer(self.words(s), self.dtype).tolist()
-        if len(self.bytes) == 256:  # the bytes of a character without a piece are one step
-            byte = set(self.bytes.values())
-            data = bytes(self.text[i][0] for i in ids if i in byte)
-            return sum(self.sp.get_score(i) for i in ids if i not in byte) + self.worst * len(data.decode("utf-8", "replace"))
-        return sum(self.worst if i == self.unk else self.sp.get_score(i) for i in ids)
-
-    def between(self, s: str, left: int, size: int, begin: State, end: State) -> bytes:
+            if x[1] == p:
+                out[x] = tail
+            elif x[1] < p:
+                heads = [w for y, (w, _) in self.paths(s, x, p, shift).items() if y[1] == p]
+                if heads:
+                    out[x] = {y: max(heads) + v for y, v in tail.items()}
+        return moved(out, shift)
+
+    def between(self, s: str, left: int, size: int, at: int, begin: State, end: State) -> bytes:
         """Ids of the pieces begun in the chunk, from its state before to its state after."""
-        lo, hi = left, left + size
+        lo, hi, shift = left, left + size, at - left
+        begin, end = back(begin, shift), back(end, shift)
         meet = self.meeting(s, lo, hi - 1)
         join = lambda states: b"".join(self.ids_of(s[b:e]) for b, e in states)
         if meet is None:
-            return join(self.traced(self.paths(s, begin, hi), end))
+            return join(self.traced(self.paths(s, begin, hi, shift), end))
         p, q = meet
         head = b""
         if begin[1] < p:
-            paths = self.paths(s, begin, p)
+            paths = self.paths(s, begin, p, shift)
             head = join(self.traced(paths, max((y for y in paths if y[1] == p and y != begin), key=lambda y: (paths[y][0], y))))
-        return head + self.words(s[p:q]) + join(self.traced(self.paths(s, (q, q), hi), end))
+        return head + self.words(s[p:q]) + join(self.traced(self.paths(s, (q, q), hi, shift), end))
 
     # Whole texts
 
@@ -255,17 +282,17 @@ class Model:
         if self.meets and (chunk is None or len(s) <= chunk):
             return self.words(s)
         chunk = chunk or len(s)
-        cuts = [chunked(s, at, chunk, self.longest) for at in range(0, len(s), chunk)]
-        matrices = [moved(self.transfer(c, left, size, at == 0), at - left) for (c, left, size), at in zip(cuts, range(0, len(s), chunk), strict=True)]
-        states = boundary_states(matrices, len(s))
-        return b"".join(
-            self.between(c, left, size, back(a, at - left), back(b, at - left))
-            for (c, left, size), at, a, b in zip(cuts, range(0, len(s), chunk), states, states[1:], strict=False)
-        )
+        cuts = [(*chunked(s, at, chunk, self.longest), at) for at in range(0, len(s), chunk)]
+        matrices = [self.transfer(*cut) for cut in cuts]
+        states = inner_states(matrices, START, best_end(combined(matrices)))
+        return b"".join(self.between(*cut, a, b) for cut, a, b in zip(cuts, states, states[1:], strict=False))
+
+    def spelled(self, ids: bytes) -> bytes:
+        return b"".join(map(self.text.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of ids, the blank in front taken off."""
-        out = b"".join(map(self.text.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
+        out = self.spelled(ids)
         return out[1:] if out[:1] == b" " else out
 
 
@@ -284,113 +311,139 @@ def back(x: State, by: int) -> State:
     return x if x == START else (x[0] - by, x[1] - by)
 
 
-def combined(matrices: Iterable[Matrix]) -> Matrix:
-    return reduce(product, matrices)
-
-
 _models: dict[int, Model] = {}
 
 
 def _model(proto: bytes) -> Model:
     key = hash(proto)
     if key not in _models:
+        _models.clear()
         _models[key] = Model(proto)
     return _models[key]
 
 
-_PACKED = "struct<ids:binary,n_tokens:bigint,round_trip:boolean>"
+_PACKED = "struct<ids:binary,n_tokens:bigint,round_trip:boolean,chunks:int>"
 
 
-def _packed(model: Model, texts: list[str | None], ids: list[bytes]) -> pa.StructArray:
-    same = [model.decode(i) == (t or "").replace(BLANK, " ").encode() for t, i in zip(texts, ids, strict=True)]
-    n = [len(i) // model.dtype.itemsize for i in ids]
-    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["ids", "n_tokens", "round_trip"])
+def _whole(column: pa.Array, proto: bytes) -> pa.StructArray:
+    """A slice's texts at a time, so that words and decoded texts of a batch never are
+    in memory together."""
+    m = _model(proto)
+    ids, same, some = [], [], []
+    for part in slices(column):
+        for t in part.to_pylist():
+            ids.append(m.encode(t) if t else b"")
+            same.append(m.decode(ids[-1]) == (t or "").encode())
+            some.append(bool(t))
+    n = [len(i) // m.dtype.itemsize for i in ids]
+    out = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(same, pa.bool_()), pa.array(some).cast(pa.int32())], ["ids", "n_tokens", "round_trip", "chunks"])
+    del ids
+    tidy()
+    return out
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces", giant: int = 32_768, chunk: int = 8_192) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces", giant: int = 32_768, chunk: int = 8_192, fan: int = 32) -> DataFrame:
     """docs with the struct `into`: ids (binary, little-endian uint16, uint32 for
     vocabularies over 65,536), n_tokens, round_trip (whether decoding the ids gives
-    the text back), chunks.
+    the text back: all but texts that hold U+2581, which stands for a blank), chunks.
 
     Texts of over `giant` characters are cut into chunks that are rows of their
-    own, dealt over all executors. Null and empty texts have no ids. A column
-    named `into` is replaced; other columns and repeated rows stay. The model file
-    is read on the driver and sent to tasks (its size is that of a vocabulary)."""
+    own, dealt over all executors; no text is cut short, and ids do not depend on
+    giant, chunk or fan. Null and empty texts have no ids, no tokens, 0 chunks, and
+    come back. A column named `into` is replaced; all others stay, whatever their
+    names, and so do repeated rows. An empty table gives none. The model file is read
+    on the driver and sent to tasks (its size is that of a vocabulary)."""
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
     longest = Model(proto.value).longest
-    column = F.col(f"`{text}`")
+    column = quoted(text)
     is_giant = F.coalesce(F.length(column) > giant, F.lit(False))
+    rest = [quoted(c) for c in docs.columns if c.lower() != into.lower()]
 
     @F.arrow_udf(_PACKED)
     def whole(texts: pa.Array) -> pa.Array:
-        m, t = _model(proto.value), texts.to_pylist()
-        return _packed(m, t, [m.encode(x) if x else b"" for x in t])
+        return _whole(texts, proto.value)
 
-    plain = docs.where(~is_giant).withColumn(into, whole(column)).withColumn(into, F.col(into).withField("chunks", F.when(column.isNull() | (column == ""), 0).otherwise(1)))
-    rest = [c for c in docs.columns if c != into]
-    giants = docs.where(is_giant)
+    plain = docs.where(~is_giant).select(*rest, whole(column).alias(into))
+    uid = free_name(docs, "uid")
+    giants = staged(docs.where(is_giant).select("*", F.monotonically_increasing_id().alias(uid)), "pieces-giants")
     if giants.isEmpty():
-        return plain.select(*rest, into)
-    giants = staged(giants.select(*[F.col(f"`{c}`") for c in rest]).withColumn("_uid", F.monotonically_increasing_id()), "pieces-giants")
+        return plain
 
-    def cut(batches):
-        for b in batches:
-            for uid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = BLANK + t.replace(" ", BLANK)
-                starts = list(range(0, len(s), chunk))
-                parts = [chunked(s, at, chunk, longest) for at in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid] * len(parts)), pa.array(starts, pa.int64()), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.int32())],
-                    ["_uid", "at", "s", "left", "size"],
-                )
-
-    fields = "_uid long, at long, s string, left int, size int"
-    chunks = giants.select("_uid", column).mapInArrow(cut, fields).repartition("_uid", "at")
+    # A row's chunks, with their surroundings, in the JVM: (uid, k, s, left, size).
+    parts = F.regexp_extract_all(F.concat(F.lit(BLANK), F.translate(column, " ", BLANK)), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    x = giants.select(quoted(uid).alias("uid"), parts.alias("p"), F.contains(column, F.lit(BLANK)).alias("mark"))
+    p = F.col("p")
+    before = lambda i: F.when(i > 0, F.right(F.get(p, i - 1), F.lit(longest))).otherwise("")
+    after = lambda i: F.coalesce(F.left(F.get(p, i + 1), F.lit(longest)), F.lit(""))
+    cut = F.transform(p, lambda c, i: F.struct(i.cast("long").alias("k"), F.concat(before(i), c, after(i)).alias("s"), F.length(before(i)).alias("left"), F.length(c).alias("size")))
+    chunks = staged(x.select("uid", "mark", F.explode(cut).alias("c")).select("uid", "mark", "c.*").repartition("uid", "k"), "pieces-chunks")
 
     def matrix(batches):
         for b in batches:
             m = _model(proto.value)
-            rows = [moved(m.transfer(r["s"], r["left"], r["size"], r["at"] == 0), r["at"] - r["left"]) for r in b.to_pylist()]
-            flat = [json.dumps([[*x, *y, w] for x, row in x_rows.items() for y, w in row.items()]) for x_rows in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(flat)], ["_uid", "at", "size", "matrix"])
-
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["at"])
-        matrices = []
-        for r in rows:
-            m: Matrix = {}
-            for a, b, c, d, w in json.loads(r["matrix"]):
-                m.setdefault((a, b), {})[(c, d)] = w
-            matrices.append(m)
-        states = boundary_states(matrices, rows[-1]["at"] + rows[-1]["size"])
-        return pa.table({"_uid": [r["_uid"] for r in rows], "at": [r["at"] for r in rows], "a": [list(x) for x in states[:-1]], "b": [list(x) for x in states[1:]]})
-
-    def trace(batches):
+            for part in slices(b, 2):
+                rows = [m.transfer(s, left, size, k * chunk) for k, s, left, size in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pickle.dumps(x) for x in rows], pa.binary())], ["uid", "k", "matrix"])
+            tidy()
+
+    def multiplied(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("k").to_pylist(), table.column("matrix").to_pylist(), strict=True))
+        m = combined(pickle.loads(x) for _, x in rows)
+        return pa.table({"uid": table.column("uid")[:1], "k": pa.array([rows[0][0] // fan]), "matrix": pa.array([pickle.dumps(m)], pa.binary())})
+
+    fields = "uid long, k long, matrix binary"
+    rounds = [staged(chunks.select("uid", "k", "s", "left", "size").mapInArrow(matrix, fields), "pieces-matrices")]
+    block = F.expr(f"k div {fan}").alias("block")
+    most = chunks.agg(F.max("k")).first()[0] + 1
+    while most > 1:
+        rounds.append(staged(rounds[-1].groupBy("uid", block).applyInArrow(multiplied, fields), "pieces-products"))
+        most = -(-most // fan)
+
+    pairs = "uid long, k long, a array<long>, b array<long>"
+
+    def ends(batches):
         for b in batches:
-            m, out = _model(proto.value), []
-            for r in b.to_pylist():
-                by = r["at"] - r["left"]
-                out.append(m.between(r["s"], r["left"], r["size"], back(tuple(r["a"]), by), back(tuple(r["b"]), by)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["_uid", "at", "ids"])
-
-    chunks = staged(chunks, "pieces-chunks")
-    matrices = chunks.mapInArrow(matrix, "_uid long, at long, size int, matrix string")
-    states = matrices.groupBy("_uid").applyInArrow(scan, "_uid long, at long, a array<long>, b array<long>")
-    traced = chunks.join(states, ["_uid", "at"]).select("_uid", "at", "s", "left", "size", "a", "b").mapInArrow(trace, "_uid long, at long, ids binary")
-    per_doc = traced.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_parts"))
+            last = [list(best_end(pickle.loads(x))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(START)] * len(last)), pa.array(last)], ["uid", "k", "a", "b"])
 
-    @F.arrow_udf(_PACKED)
-    def gathered(texts: pa.Array, parts: pa.Array) -> pa.Array:
-        return _packed(_model(proto.value), texts.to_pylist(), [b"".join(p["ids"] for p in x) for x in parts.to_pylist()])
+    def inside(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("k").to_pylist(), table.column("matrix").to_pylist(), strict=True))
+        states = inner_states([pickle.loads(x) for _, x in rows], *(tuple(table.column(c)[0].as_py()) for c in "ab"))
+        return pa.table({"uid": pa.array(table.column("uid")), "k": [k for k, _ in rows], "a": [list(x) for x in states[:-1]], "b": [list(x) for x in states[1:]]})
+
+    states = rounds[-1].mapInArrow(ends, pairs)
+    for level in rounds[-2::-1]:
+        known = states.select("uid", F.col("k").alias("block"), "a", "b")
+        states = level.select("*", block).join(known, ["uid", "block"]).groupBy("uid", "block").applyInArrow(inside, pairs)
 
-    done = giants.join(per_doc, "_uid").withColumn(into, gathered(column, F.col("_parts")).withField("chunks", F.size("_parts")))
-    return plain.select(*rest, into).unionByName(done.select(*rest, into))
+    def trace(batches):
+        for b in batches:
+            m = _model(proto.value)
+            for part in slices(b, 2):
+                ids, same = [], []
+                for k, s, left, size, x, y in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
+                    x, y, shift = tuple(x), tuple(y), k * chunk - left
+                    ids.append(m.between(s, left, size, k * chunk, x, y))
+                    same.append(m.spelled(ids[-1]) == s[max(x[1] - shift, 0) : y[1] - shift].replace(BLANK, " ").encode())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["uid", "k", "ids", "same"])
+            tidy()
+
+    traced = chunks.join(states, ["uid", "k"])
+    marks = chunks.where("k = 0").select("uid", "mark")
+    traced = traced.select("uid", "k", "s", "left", "size", "a", "b").mapInArrow(trace, "uid long, k long, ids binary, same boolean")
+    size = _model(proto.value).dtype.itemsize
+    per_doc = traced.groupBy("uid").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("ids"), F.bool_and("same").alias("same"), F.count("*").cast("int").alias("chunks")).join(marks, "uid")
+    packed = F.struct("ids", F.expr(f"octet_length(ids) div {size}").alias("n_tokens"), (F.col("same") & ~F.col("mark")).alias("round_trip"), "chunks")
+    per_doc = per_doc.select(F.col("uid").alias(uid), packed.alias(free_name(docs, into + "_")))
+    done = giants.join(per_doc, uid)
+    return plain.unionByName(done.select(*rest, quoted(free_name(docs, into + "_")).alias(into)))
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", into: str = "text") -> DataFrame:
-    """df with the text of each row's ids (binary as `encode` writes them); null for null."""
+    """df with the text of each row's ids (binary as `encode` writes them); null for null.
+    A column named `into` is replaced; rows and other columns stay as they are."""
     with open(model_file, "rb") as f:
         proto = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -399,4 +452,4 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", into: str = "text")
         m = _model(proto.value)
         return pa.array([None if x is None else m.decode(x).decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
-    return df.withColumn(into, of(F.col(f"`{ids}`")))
+    return df.withColumn(into, of(quoted(ids)))
