@@ -9,18 +9,22 @@ exact copies are one point whatever their number. Two sets link when
    set and 1/4 of the larger at 75 %), so blocks are the sets that share such a
    shingle. The order comes from counts of all shingles of all texts in hashed
    buckets, so that passages which many texts share come last and make no block.
-   Any order gives the same links; this one keeps blocks small.
-2. Points. Shingles hash into groups and a set is the point of its group counts, a
-   byte each. The sum of coordinate minima bounds the overlap of two sets, so pairs
-   are tried on points (coarse ones in trees, fine ones pair by pair), and the sets
-   of the few survivors alone are fetched.
-3. Chains. In each block the sets next to each other in size, and each with the
-   first, are tried and verified. Connected components of these links make most
-   blocks one class; blocks of one class need no more work, so a large group of
-   copies costs in proportion to its size.
-4. R-tree. The other blocks' points go into a tree whose nodes bound the overlap by
-   their upper corner; what it leaves, of different classes, is verified. Blocks of
-   over `leaf_block` sets are cut in parts that meet pairwise.
+   Any order gives the same links; this one keeps blocks small. Of blocks with the
+   same sets, as the many shingles of a group of copies make, one stays.
+2. Points and trees. Shingles hash into groups and a set is the point of its group
+   counts, a byte each. The sum of coordinate minima bounds the overlap of two sets.
+   The points of a block are packed into an R-tree, whose leaves are `fanout` points
+   next to each other in size and then coordinates. Its nodes give the first
+   candidates: of each point the one of its leaf with the greatest bound, and of each
+   node's first point that of the node above. They are as many as the points, and
+   connected components of those that are verified make most blocks one class;
+   blocks of one class need no more work, so a large group of copies costs in
+   proportion to its size.
+3. Search. In the other blocks trees are searched: a node bounds the overlap by its
+   upper corner. First one point of each class of a block looks for its nearest one
+   of another class, then all points for all that the bound leaves. Blocks of over
+   `leaf_block` sets are cut in parts that meet pairwise.
+4. Verification. What the bound leaves is verified on the sets themselves.
 
 Shingles are 64-bit hashes; a set is known by a 64-bit fingerprint, and it is
 checked with 128 bits that no two sets share one.
@@ -28,6 +32,7 @@ checked with 128 bits that no two sets share one.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +43,16 @@ from pyspark.sql import functions as F
 
 from linkweave.operators.grouping import connected_components
 
-from .shared import free_name, partitions, quoted, raw_texts, shingle_hashes, staged, word_hashes
+from .shared import Scratch, free_name, mixed, partitions, quoted, raw_texts, shingle_hashes, slices, staged, tidy, word_hashes
 
 #: Buckets of the shingle counts: the top bits of a hash.
 BUCKET_BITS = 18
-#: Bits of the filter of ids whose sets are fetched; false hits only cost time.
-FILTER_BITS = 24
+#: Most bits of the filter of ids whose sets are fetched (8 MB), and the ids that it
+#: can take; for more, texts are joined with their ids. False hits only cost time.
+FILTER_BITS, FILTER_IDS = 26, 1 << 23
+#: Sets of a task that are remembered so as not to emit copies; and rows of a block
+#: that are held to see whether another block has the same.
+REMEMBERED, HELD = 100_000, 65_536
 NO_DOC = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
@@ -78,15 +87,11 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-#: Coordinates of a set's fine point: a power of two, from its size to twice that;
-#: of its coarse one a quarter of that.
-FINE, COARSE = 0, 2
-
-
-def count_vector(s: np.ndarray, fold: int = FINE) -> bytes:
-    """Group counts of a set, a byte each. Groups are ranges of the top bits, so that
-    neighbouring groups add up to those of half as many. 255 stands for any more."""
-    bits = min(20, max(4, (max(len(s), 1) - 1).bit_length() - fold))
+def count_vector(s: np.ndarray) -> bytes:
+    """Group counts of a set, a byte each; half as many groups as elements, up to as
+    many. Groups are ranges of the top bits, so that neighbouring groups add up to those
+    of half as many. 255 stands for any more."""
+    bits = min(20, max(4, (max(len(s), 1) - 1).bit_length() - 1))
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -108,29 +113,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, how: Join) -> DataFrame:
-    """One pass over the texts, written: rows (bucket, n) with the distinct shingles
-    of each bucket, and rows (doc, fp, fp2, n, point, fine) with each text's set and its points."""
+    """One pass over the texts: rows (bucket, n) with the distinct shingles of each
+    bucket, and rows (doc, fp, fp2, n, point) with each text's set and its point."""
+    names = ["bucket", "doc", "fp", "fp2", "n", "point"]
 
     def run(batches):
-        counts, names = np.zeros(1 << BUCKET_BITS, np.int64), ["bucket", "doc", "fp", "fp2", "n", "point", "fine"]
-        shift = np.uint64(64 - BUCKET_BITS)
-        for b in batches:
-            fps, sizes, sets = [], [], []
-            for raw in raw_texts(b.column(1)):
-                s = shingle_set(raw or b"", how.width)
-                fps.append(fingerprint(s))
-                sizes.append(len(s))
-                sets.append(s)
-            counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
-            n = len(fps)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), b.column(0), pa.array([x[0] for x in fps], pa.int64()), pa.array([x[1] for x in fps], pa.int64()), pa.array(sizes, pa.int64()), pa.array([count_vector(s, COARSE) for s in sets], pa.binary()), pa.array(map(count_vector, sets), pa.binary())], names
-            )
+        counts, shift = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64(64 - BUCKET_BITS)
+        for whole in batches:
+            for b in slices(whole, 1):
+                sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1))]
+                fps = [fingerprint(s) for s in sets]
+                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(fps), pa.int64()), b.column(0), *(pa.array([x[i] for x in fps], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(count_vector, sets), pa.binary())], names
+                )
+            tidy()
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, pa.array(counts[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, pa.array(counts[at]), pa.nulls(len(at), pa.binary())], names)
 
-    return staged(docs.mapInArrow(run, "bucket long, doc long, fp long, fp2 long, n long, point binary, fine binary"), "jaccard-survey")
+    return docs.mapInArrow(run, "bucket long, doc long, fp long, fp2 long, n long, point binary")
 
 
 def bucket_ranks(survey_table: DataFrame) -> np.ndarray:
@@ -152,147 +154,229 @@ def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks, how: Join) -> DataFrame:
-    """(token, fp, n, small): the prefix of each set; small where a token is in the
-    prefix that the set needs against larger ones. A task emits a set once."""
+    """(token, fp, small): the prefix of each set; small where a token is in the prefix
+    that the set needs against larger ones. A task emits a set once, or a few times."""
 
     def run(batches):
         done: set[int] = set()
-        for b in batches:
-            tokens, fps, sizes, lengths, small = [], [], [], [], []
-            for raw in raw_texts(b.column(1)):
-                s = shingle_set(raw or b"", how.width)
-                n = len(s)
-                if not n or (fp := fingerprint(s)[0]) in done:
-                    continue
-                if len(done) > 2_000_000:
-                    done.clear()
-                done.add(fp)
-                p = how.larger_prefix(n)
-                tokens.append(ordered(s, ranks.value)[:p])
-                fps.append(fp)
-                sizes.append(n)
-                lengths.append(p)
-                small.append(np.arange(p) < how.smaller_prefix(n))
-            if fps:
-                r = np.array(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(fps, np.int64), r)), pa.array(np.repeat(np.array(sizes, np.int32), r)), pa.array(np.concatenate(small))], ["token", "fp", "n", "small"]
-                )
-
-    return docs.mapInArrow(run, "token long, fp long, n int, small boolean")
-
-
-def blocks(tokens: DataFrame, how: Join) -> DataFrame:
-    """Rows of tokens that several sets share, with the set before and the first one
-    of the block (null where they can't link for their sizes). Streams over sorted
-    rows with one row held, so a block's size costs no memory."""
+        for whole in batches:
+            for b in slices(whole, 1):
+                tokens, fps, lengths, small = [], [], [], []
+                for raw in raw_texts(b.column(1)):
+                    s = shingle_set(raw or b"", how.width)
+                    n = len(s)
+                    if not n or (fp := fingerprint(s)[0]) in done:
+                        continue
+                    if len(done) > REMEMBERED:
+                        done.clear()
+                    done.add(fp)
+                    p = how.larger_prefix(n)
+                    tokens.append(ordered(s, ranks.value)[:p])
+                    fps.append(fp)
+                    lengths.append(p)
+                    small.append(np.arange(p) < how.smaller_prefix(n))
+                if fps:
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(fps, np.int64), lengths)), pa.array(np.concatenate(small))], ["token", "fp", "small"])
+            tidy()
+
+    return docs.mapInArrow(run, "token long, fp long, small boolean")
+
+
+def blocks(tokens: DataFrame) -> DataFrame:
+    """(token, fp, same, too): the blocks, of tokens that several sets share and that
+    are in the smaller prefix of one. The first row of a block has 128 bits (same, too)
+    of a sum over its sets, equal for blocks of the same sets. Streams over sorted rows;
+    a block of over HELD rows passes as it comes, as if no other had its sets."""
+
+    def out(t, f, x, begun: bool):
+        """Rows of whole blocks; begun: the first one's beginning has passed."""
+        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        m = np.diff(np.append(start, len(t)))
+        keep = (m > 1) & np.logical_or.reduceat(x, start)
+        u = f.view(np.uint64)
+        with np.errstate(over="ignore"):
+            same, too = (np.add.reduceat(mixed(u ^ np.uint64(k)), start).view(np.int64) for k in (0, 0x5851F42D4C957F2D))
+        first = np.zeros(len(t), bool)
+        first[start] = True
+        if begun:
+            keep[0], first[0] = True, False
+        rows = np.repeat(keep, m)
+        none = ~first[rows]
+        at = np.repeat(np.arange(len(m)), m)[rows]
+        return pa.RecordBatch.from_arrays([pa.array(t[rows]), pa.array(f[rows]), pa.array(same[at], mask=none), pa.array(too[at], mask=none)], ["token", "fp", "same", "too"])
 
     def run(batches):
-        held = None  # the last row; whether its block has rows before it; the block's first row
-        names = ["token", "fp", "n", "small", "prev", "first"]
-
-        def emit(t, f, n, x, again, first_f, first_n, first_x):
-            """again: a row is of the block of the row before; the last row's next is unknown."""
-            inside = again.copy()
-            inside[:-1] |= again[1:]
-            inside[-1] = again[-1]
-            prev, pn, px = np.roll(f, 1), np.roll(n, 1), np.roll(x, 1)
-            fits = lambda m, small: again & small & (100 * m.astype(np.int64) >= how.percent * n.astype(np.int64))
-            with_prev, with_first = fits(pn, px), fits(first_n, first_x) & (first_f != prev)
-            return inside, pa.array(prev, mask=~with_prev), pa.array(first_f, mask=~with_first)
-
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        begun = False  # rows of the held block have passed
+        last = None  # the last row seen, so that a set from another task is passed over
         for b in batches:
-            t, f, n = (b.column(i).to_numpy() for i in range(3))
-            x = b.column(3).to_numpy(zero_copy_only=False)
-            if held is not None:
-                t, f, n, x = np.append(held[0], t), np.append(held[1], f), np.append(held[2], n), np.append(held[3], x)
+            t, f = (b.column(i).to_numpy() for i in range(2))
+            x = b.column(2).to_numpy(zero_copy_only=False)
             new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])  # the same set from another task
-            t, f, n, x = t[new], f[new], n[new], x[new]
-            again = np.zeros(len(t), bool)
-            again[1:] = t[1:] == t[:-1]
-            start = np.maximum.accumulate(np.where(again, 0, np.arange(len(t))))
-            ff, fn, fx = f[start], n[start], x[start]
-            if held is not None and held[4]:
-                of_held = start == 0
-                ff[of_held], fn[of_held], fx[of_held] = held[5]
-            inside, prev, first = emit(t, f, n, x, again, ff, fn, fx)
-            # The last row waits for its successor, the first one was held and knows its past.
-            if held is not None and held[4]:
-                inside[0] = True
-                prev, first = pa.concat_arrays([held[6], prev[1:]]), pa.concat_arrays([held[7], first[1:]])
-            keep = np.flatnonzero(inside[:-1])
-            if len(keep):
-                at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(f[keep]), pa.array(n[keep]), pa.array(x[keep]), prev.take(at), first.take(at)], names)
-            past = bool(again[-1]) or (len(t) == 1 and held is not None and held[4])
-            held = (t[-1], f[-1], n[-1], x[-1], past, (ff[-1], fn[-1], fx[-1]), prev[-1:], first[-1:])
-        if held is not None and held[4]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([held[2]]), pa.array([held[3]]), held[6], held[7]], names)
-
-    sorted_rows = tokens.repartition(partitions(tokens), "token").sortWithinPartitions("token", "n", "fp")
-    return sorted_rows.mapInArrow(run, "token long, fp long, n int, small boolean, prev long, first long")
-
-
-def _place(doc: Column) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
-
-
-def id_filter(ids: DataFrame) -> Column:
-    """Whether a doc is among ids, or (rarely) not: bits at hashed places, 2 MB however
-    many ids there are, tested in the scan."""
+            new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
+            new[0] = last != (t[0], f[0])
+            last = (t[-1], f[-1])
+            t, f, x = (np.concatenate(c) for c in zip(held, (t[new], f[new], x[new]), strict=True))
+            if not len(t):
+                continue
+            cut = int(np.searchsorted(t, t[-1]))
+            if cut:
+                yield out(t[:cut], f[:cut], x[:cut], begun)
+                begun = False
+            held = t[cut:], f[cut:], x[cut:]
+            if len(held[0]) > HELD:
+                rows = out(*held, begun)
+                if not begun:  # its own mark, which no sum over sets gives but by chance
+                    rows = rows.set_column(3, "too", pa.array(np.where(np.arange(rows.num_rows) == 0, held[0][0], 0), mask=np.arange(rows.num_rows) > 0))
+                yield rows
+                held, begun = tuple(c[:0] for c in held), True
+        if len(held[0]):
+            yield out(*held, begun)
+
+    sorted_rows = tokens.repartition(partitions(tokens), "token").sortWithinPartitions("token", "fp")
+    return sorted_rows.mapInArrow(run, "token long, fp long, same long, too long")
+
+
+def distinct_blocks(rows: DataFrame) -> DataFrame:
+    """(token, fp) of one block of each that have the same sets."""
+    kept = rows.where("same is not null").groupBy("same", "too").agg(F.min("token").alias("token")).select("token")
+    return rows.select("token", "fp").join(kept, "token")
+
+
+def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point of each leaf the one after it in its leaf with the greatest bound
+    for their sizes, if the bound lets them link. at: rows of the leaves, -1 for none."""
+    width = at.shape[1]
+    lengths = np.array(list(map(len, points)))
+    groups = np.where(at >= 0, lengths[at], 1 << 30).min(axis=1)
+    found = []
+    for g in np.unique(groups):
+        leaves = at[groups == g]
+        for some in np.array_split(leaves, -(-len(leaves) * width * int(g) // (1 << 22))):
+            a = np.zeros((*some.shape, g), np.uint16)
+            for i, j in np.argwhere(some >= 0):
+                a[i, j] = np.minimum(folded(np.frombuffer(points[some[i, j]], np.uint8), g), 65535)
+            size = np.where(some >= 0, n[some], 0)
+            best, to = np.zeros(some.shape), np.full(some.shape, -1)
+            for d in range(1, width):
+                bound = np.minimum(a[:, d:], a[:, :-d]).sum(axis=2, dtype=np.int64)
+                x, y = size[:, :-d], size[:, d:]
+                fits = (x > 0) & (y > 0) & (100 * np.minimum(x, y) >= how.percent * np.maximum(x, y)) & (bound >= how.overlap(x + y))
+                score = np.where(fits, bound / np.maximum(x + y, 1), 0)
+                more = score > best[:, :-d]
+                best[:, :-d][more], to[:, :-d][more] = score[more], some[:, d:][more]
+            hit = to >= 0
+            found.append((some[hit], to[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def neighbours(rows: DataFrame, how: Join) -> DataFrame:
+    """(a, b): candidates that the nodes of the blocks' trees give, one or two a point.
+    rows: token, fp, n, point. Streams over rows in the order of the leaves, with one
+    leaf and the first points of the nodes above it held, whatever the block."""
+    f = how.fanout
+
+    def above(heads: dict, k: int, row: tuple) -> tuple | None:
+        """The first point (fp, n, point) of the node above those that the k-th leaf
+        begins; its own is noted as theirs. None for the block's first leaf."""
+        if not k:
+            heads.clear()
+            heads["root"] = row
+            return None
+        level = 0
+        while k % f == 0:
+            heads[level] = row
+            k, level = k // f, level + 1
+        return heads.get(level, heads["root"])
+
+    def run(batches):
+        held, heads, done = [], {}, 0  # rows of a leaf that may go on; its block's heads, and its leaves before
+        token = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = [*held, *zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+            if not held:
+                continue
+            t = np.array([r[0] for r in held])
+            start = np.append(True, t[1:] != t[:-1])
+            at = np.flatnonzero(start)
+            pos = np.arange(len(t)) - np.repeat(at, np.diff(np.append(at, len(t))))
+            # The last leaf waits, unless nothing follows.
+            rest = len(t) if b is None else len(t) - 1 - int(pos[-1]) % f
+            first = np.flatnonzero(pos[:rest] % f == 0)
+            if len(first):
+                leaf = np.full((len(first), f), -1)
+                k = np.repeat(np.arange(len(first)), np.diff(np.append(first, rest)))
+                leaf[k, pos[:rest] % f] = np.arange(rest)
+                n, points = np.array([r[2] for r in held]), [r[3] for r in held]
+                x, y = _leaf_pairs(n, points, leaf, how)
+                pairs = [(held[i][1], held[j][1]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                for i in first.tolist():
+                    if held[i][0] != token or (start[i] and i):
+                        token, done = held[i][0], 0
+                    head, (fp, size, point) = above(heads, done, held[i][1:]), held[i][1:]
+                    done += 1
+                    if head and 100 * min(head[1], size) >= how.percent * max(head[1], size) and may_link(np.frombuffer(head[2], np.uint8), np.frombuffer(point, np.uint8), head[1] + size, how):
+                        pairs.append((head[0], fp))
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+            held = held[rest:]
+        tidy()
+
+    x = rows.select("token", "fp", "n", "point").repartition(partitions(rows), "token").sortWithinPartitions("token", "n", "point", "fp")
+    return x.mapInArrow(run, "a long, b long")
+
+
+def _place(doc: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(1 << bits))
+
+
+def id_filter(ids: DataFrame, bits: int) -> Column:
+    """Whether a doc is among ids, or (rarely) not: bits at hashed places, tested in
+    the scan."""
     spark = ids.sparkSession
-    words = ids.select(_place(F.col("doc")).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    words = ids.select(_place(F.col("doc"), bits).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    bits = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))})).scalar()
-    place = _place(F.col("doc"))
-    word = F.get(bits, F.floor(place / F.lit(64)).cast("int"))
+    data = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))})).scalar()
+    place = _place(F.col("doc"), bits)
+    word = F.get(data, F.floor(place / F.lit(64)).cast("int"))
     return F.expr("1L") == F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
 
 def fetch_sets(docs: DataFrame, needed: DataFrame, how: Join) -> DataFrame:
-    """(fp, shingles): the sets of needed (fp, doc), written; docs' texts are not
-    shuffled, only the sets that an id filter lets through."""
+    """(fp, shingles): the sets of needed (fp, doc). Up to FILTER_IDS of them, docs'
+    texts are not shuffled, only the sets that a filter of ids lets through."""
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "fp", "shingles"])
-
-    rows = docs.where(id_filter(needed)).mapInArrow(run, "doc long, fp long, shingles binary")
-    return staged(rows.join(needed, ["fp", "doc"]).drop("doc").dropDuplicates(["fp"]), "jaccard-sets")
-
-
-def bounded(pairs: DataFrame, points: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b) that sizes and count vectors allow to link."""
-
-    def run(batches):
-        for b in batches:
-            n = b.column(2).to_numpy() + b.column(3).to_numpy()
-            rows = zip(b.column(4).to_pylist(), b.column(5).to_pylist(), n.tolist(), strict=True)
-            keep = pa.array([may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k, how) for x, y, k in rows])
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], ["a", "b"])
-
-    side = lambda c: points.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb"))
-    return x.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
-
-
-def verified(tried: DataFrame, texts: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b) whose sets link. Fine points drop nearly all others first."""
-    pairs = staged(bounded(tried, reps.select("fp", "n", F.col("fine").alias("point")), how), "jaccard-bounded")
+        for whole in batches:
+            for b in slices(whole, 1):
+                sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "fp", "shingles"])
+            tidy()
+
+    n = needed.count()
+    if n <= FILTER_IDS:
+        docs = docs.where(id_filter(needed, min(FILTER_BITS, max(10, (16 * n).bit_length()))))
+    else:
+        docs = docs.join(needed.select("doc").distinct(), "doc", "left_semi")
+    rows = docs.mapInArrow(run, "doc long, fp long, shingles binary")
+    return rows.join(needed, ["fp", "doc"]).drop("doc").dropDuplicates(["fp"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, how: Join, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets link. pairs and reps must be written tables."""
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = fetch_sets(texts, staged(reps.select("fp", "doc").join(ends, "fp", "left_semi"), "jaccard-needed"), how)
+    sets = tmp.staged(fetch_sets(texts, tmp.staged(reps.select("fp", "doc").join(ends, "fp", "left_semi"), "jaccard-needed"), how), "jaccard-sets")
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y)
-                keep.append(both - len(np.union1d(x, y)) >= how.overlap(both))
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(2)], ["a", "b"])
+        for whole in batches:
+            for b in slices(whole, 2, 8 << 20):
+                keep = []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= how.overlap(len(x) + len(y)))
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(2)], ["a", "b"])
+            tidy()
 
     x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
     x = x.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -331,15 +415,14 @@ class RTree:
 
 def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.ndarray:
     """Pairs (a, b) of one block's rows, from parts lo and hi, of different labels,
-    that the bound does not exclude: of each row the one of greatest bound, or all
-    of which the block is the first that both are in."""
-    n, fp, label, small, part = (block[c] for c in ("n", "fp", "label", "small", "part"))
+    that the bound does not exclude: of each row the one of greatest bound, or all."""
+    n, fp, label, part = (block[c] for c in ("n", "fp", "label", "part"))
     token, g = int(block["token"][0]), min(map(len, block["point"]))
     points = np.stack([folded(np.frombuffer(x, np.uint8), g) for x in block["point"]])
     lo, hi = int(block["lo"][0]), int(block["hi"][0])
     out = [np.empty((0, 2), np.int64)]
     for mine, theirs in {(lo, hi), (hi, lo)}:
-        own, other = np.flatnonzero((part == mine) & small), np.flatnonzero(part == theirs)
+        own, other = np.flatnonzero(part == mine), np.flatnonzero(part == theirs)
         if not len(own) or not len(other):
             continue
         tree = RTree(points[other], n[other], how)
@@ -352,8 +435,6 @@ def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.n
                 continue
             if nearest:  # ties fall differently in every block
                 j = j[[np.lexsort((fp[j] ^ token, -bound))[0]]]
-            else:
-                j = j[[int(np.intersect1d(block["tokens"][i], block["tokens"][k], assume_unique=True)[0]) == token for k in j]]
             out.append(np.stack([np.full(len(j), fp[i]), fp[j]], axis=1))
     return np.concatenate(out)
 
@@ -361,7 +442,7 @@ def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.n
 def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
     """(token, a, b) that the R-trees of the blocks (token, lo, hi) of rows leave. A
     block, of at most two parts, is held whole."""
-    names = ["token", "lo", "hi", "part", "fp", "n", "small", "label", "point", *([] if nearest else ["tokens"])]
+    names = ["token", "lo", "hi", "part", "fp", "n", "label", "point"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -389,18 +470,23 @@ def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
                 yield out
         if held:
             yield pairs(pa.Table.from_batches(held), True)[0]
+        tidy()
 
     x = rows.select(names).repartition(partitions(rows), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     return x.mapInArrow(run, "token long, a long, b long")
 
 
-def open_blocks(rows: DataFrame, links: DataFrame, points: DataFrame, how: Join) -> DataFrame:
-    """The rows (token, fp, small) of the blocks of more than one class, with label,
-    point, size and parts."""
-    labels = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
-    x = staged(rows.join(labels, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component"), "jaccard-labelled")
-    mixed = x.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / how.leaf_block).alias("parts"))
-    x = x.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+def open_blocks(rows: DataFrame, classes_of: DataFrame) -> DataFrame:
+    """The rows (token, fp) of the blocks of more than one class, with label."""
+    x = rows.join(classes_of, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
+    several = x.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    return x.join(several, "token")
+
+
+def in_parts(rows: DataFrame, points: DataFrame, how: Join) -> DataFrame:
+    """Rows of blocks with size, point and the parts lo and hi that meet."""
+    parts = rows.groupBy("token").agg(F.ceil(F.count("*") / how.leaf_block).alias("parts"))
+    x = rows.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     return x.withColumn("lo", F.least("part", "o")).withColumn("hi", F.greatest("part", "o")).drop("o", "parts").join(points, "fp")
 
@@ -409,51 +495,70 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
+def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = None) -> DataFrame:
     """docs (doc_id, text) to one row each: doc_id, n_shingles, component_id, the
     smallest doc_id that links reach.
 
     Null and empty texts, and those of blanks, have no shingles and link with
     nothing: component_id is their own doc_id. Texts of fewer words than a shingle
-    are one shingle. A null doc_id takes part but names no class unless it is the
-    only id, when component_id is null. Repeated rows are copies. Other columns are
-    not read; an empty table gives no rows."""
+    are one shingle; texts are read whole, however long. A null doc_id takes part but
+    names no class unless it is the only id, when component_id is null. Repeated rows
+    are copies. Other columns, whatever their names, are not read; an empty table gives
+    no rows. Tables on the way are removed as soon as they are read.
+
+    told: takes the numbers of rows in blocks, of candidates and of links by step."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "text")
-    seen = survey(texts, how)
-    ids = seen.where("bucket is null").select("doc", "fp", "fp2", "n", "point", "fine")
-    reps = ids.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
-    reps = staged(reps, "jaccard-reps")
-    if not reps.where("one <> two").isEmpty():
-        raise ValueError("two different sets have one 64-bit fingerprint")
-    points = reps.select("fp", "n", "point")
-    ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(seen))
-    block_rows = staged(blocks(prefixes(texts, ranks, how), how), "jaccard-blocks")
-
-    # Chains: rows next to each other, and each with its block's first.
-    near = block_rows.select("fp", F.explode(F.array("prev", "first")).alias("o")).where("o is not null")
-    pairs = staged(near.select(F.least("fp", "o").alias("a"), F.greatest("fp", "o").alias("b")).distinct(), "jaccard-near")
-    links = staged(verified(pairs, texts, reps, how), "jaccard-links")
-
-    # Blocks of several classes. Up to three rows are all pairs already.
-    sizes = block_rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 3").select("token")
-    large = staged(block_rows.select("token", "fp", "small").join(sizes, "token"), "jaccard-large")
-    tried = staged(surviving(open_blocks(large, links, points, how), how, True), "jaccard-nearest")
-    more = staged(verified(_pairs(tried).join(pairs, ["a", "b"], "left_anti"), texts, reps, how), "jaccard-more")
-    links = staged(links.unionByName(more), "jaccard-links")
-    # A block without a pair left in it is done.
-    rest = large.join(tried.select("token").distinct(), "token")
-    tokens = rest.groupBy("fp").agg(F.array_sort(F.collect_list("token")).alias("tokens"))  # a prefix at most
-    left = surviving(open_blocks(rest, links, points, how).join(tokens, "fp"), how, False)
-    last = verified(_pairs(left), texts, reps, how)
-    everything = staged(links.unionByName(last), "jaccard-all-links")
-
-    final = connected_components(everything, "a", "b").withColumnRenamed("node", "fp")
-    x = ids.select("doc", "fp", "n").join(final, "fp", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "fp")))
-    own = F.when(F.col("doc") != NO_DOC, F.col("doc"))
-    x = x.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "label")
-    least = x.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    x = x.join(least, "label", "left")
-    return x.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+    def tell(name: str, df: DataFrame) -> None:
+        if told is not None:
+            told[name] = df.count()
+
+    with Scratch(spark) as tmp, Scratch(spark) as block_tmp, Scratch(spark) as once:
+        seen = tmp.staged(survey(texts, how), "jaccard-survey")
+        ids = seen.where("bucket is null").select("doc", "fp", "fp2", "n", "point")
+        reps = ids.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
+        reps = tmp.staged(reps, "jaccard-reps")
+        if not reps.where("one <> two").isEmpty():
+            raise ValueError("two different sets have one 64-bit fingerprint")
+        points = reps.select("fp", "n", "point")
+        ranks = spark.sparkContext.broadcast(bucket_ranks(seen))
+        every = once.staged(blocks(prefixes(texts, ranks, how)), "jaccard-every-block")
+        tell("rows of blocks", every)
+        rows = block_tmp.staged(distinct_blocks(every), "jaccard-blocks")
+        tell("rows of distinct blocks", rows)
+        once.drop()
+
+        # What the nodes of the trees give.
+        pairs = once.staged(neighbours(rows.join(points, "fp"), how).distinct(), "jaccard-near")
+        tell("candidates of nodes", pairs)
+        links = tmp.staged(verified(pairs, texts, reps, how, once), "jaccard-links")
+        tell("links of nodes", links)
+        once.drop()
+        classes_of = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+
+        # What a search of the trees finds between classes: of one point of each, then of all.
+        for nearest in (True, False):
+            rows = block_tmp.staged(open_blocks(rows.select("token", "fp"), classes_of), "jaccard-open")
+            tell(f"rows of open blocks, {'one of each class' if nearest else 'all'}", rows)
+            few = rows.groupBy("token", "label").agg(F.min("fp").alias("fp")) if nearest else rows
+            found = once.staged(_pairs(surviving(in_parts(few, points, how), how, nearest)), "jaccard-found")
+            tell(f"candidates of search, {'one of each class' if nearest else 'all'}", found)
+            if not found.isEmpty():
+                more = tmp.staged(verified(found, texts, reps, how, once), "jaccard-more")
+                tell(f"links of search, {'one of each class' if nearest else 'all'}", more)
+                if not more.isEmpty():
+                    links = links.unionByName(more)
+                    classes_of = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+            once.drop()
+        block_tmp.drop()
+
+        x = ids.select("doc", "fp", "n").join(classes_of, "fp", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "fp")))
+        own = F.when(F.col("doc") != NO_DOC, F.col("doc"))
+        x = x.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "label")
+        least = x.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        x = x.join(least, "label", "left")
+        return staged(x.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard-classes")
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -407,11 +408,55 @@ def test_jaccard_families(spark):
     data = list(enumerate(data))
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     for how in (jaccard.Join(), jaccard.Join(leaf_block=6, fanout=2)):
-        assert rows(jaccard.classes(df, how)) == brute_classes(data)
+        told = {}
+        assert rows(jaccard.classes(df, how, told)) == brute_classes(data)
+        # All candidates are the trees', and their links alone span the classes.
+        sizes = Counter(c for _, _, c in brute_classes(data))
+        assert told["links of nodes"] > 0 and sum(v for k, v in told.items() if k.startswith("links")) >= sum(n - 1 for n in sizes.values())
+        assert told["rows of distinct blocks"] < told["rows of blocks"]
     one = jaccard.one_of_each(df.withColumn("component_id", F.lit(1)))
     assert sorted(x.doc_id for x in one.collect()) == sorted({c for _, _, c in brute_classes(data)})
 
 
+def test_a_large_group_costs_in_proportion(spark):
+    """One group of near copies, in blocks of many leaves and several batches."""
+    r = random.Random(17)
+    base = prose(r, 60).split()
+    data = [(i, " ".join(base[:55] + [f"{w}{i}" if k == i % 5 else w for k, w in enumerate(base[55:])])) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        told = {}
+        got = jaccard.classes(df, jaccard.Join(fanout=4), told)
+        assert {x.component_id for x in got.collect()} == {0}
+        assert told["candidates of nodes"] < 3 * 900 * 16
+        assert rows(jaccard.classes(df.limit(200), jaccard.Join(fanout=4))) == brute_classes([tuple(x) for x in df.limit(200).collect()])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_blocks_stream_in_any_batches(spark, monkeypatch):
+    r = random.Random(18)
+    data = sorted({(r.randint(0, 40), r.randint(0, 9)) for _ in range(300)} | {(50, i) for i in range(60)} | {(51, i) for i in range(60)})
+    small = {d: r.random() < 0.4 for d in data}
+    df = spark.createDataFrame([(*d, small[d]) for d in data + data[::3]], "token long, fp long, small boolean").repartition(3)
+    of = {}
+    for t, f in data:
+        of.setdefault(t, []).append(f)
+    want = {t: fs for t, fs in of.items() if len(fs) > 1 and any(small[t, f] for f in fs)}
+    for batch in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        try:
+            out = jaccard.blocks(df)
+            assert rows(out.select("token", "fp")) == sorted(((t, f) for t, fs in want.items() for f in fs), key=repr)
+            kept = {}
+            for t, f in rows(jaccard.distinct_blocks(out)):
+                kept.setdefault(t, []).append(f)
+            assert sorted(map(sorted, kept.values())) == sorted(map(list, {tuple(sorted(fs)) for fs in want.values()}))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bound_never_excludes_a_link():
     r = np.random.default_rng(8)
     how = jaccard.Join()
@@ -421,7 +466,7 @@ def test_bound_never_excludes_a_link():
             b = np.concatenate([a[: int(n * r.uniform(0.6, 1))], r.integers(0, 2**63, int(n * r.uniform(0, 0.4))).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             k, both = len(np.intersect1d(a, b)), len(a) + len(b)
-            p, q = (np.frombuffer(jaccard.count_vector(x, r.choice([jaccard.FINE, jaccard.COARSE])), np.uint8) for x in (a, b))
+            p, q = (np.frombuffer(jaccard.count_vector(x), np.uint8) for x in (a, b))
             if 100 * k >= 75 * (both - k):
                 assert jaccard.may_link(p, q, both, how)
                 s, t = (a, b) if len(a) <= len(b) else (b, a)
