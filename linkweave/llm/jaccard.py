@@ -20,10 +20,11 @@ exact copies are one point whatever their number. Two sets link when
    connected components of those that are verified make most blocks one class;
    blocks of one class need no more work, so a large group of copies costs in
    proportion to its size.
+   A block of one leaf whose candidates are all pairs that the bound leaves is done.
 3. Search. In the other blocks trees are searched: a node bounds the overlap by its
-   upper corner. First one point of each class of a block looks for its nearest one
-   of another class, then all points for all that the bound leaves. Blocks of over
-   `leaf_block` sets are cut in parts that meet pairwise.
+   upper corner. First each point looks for its nearest ones of other classes, then,
+   where there were more, for all that the bound leaves. Blocks of over `leaf_block`
+   sets are cut in parts that meet pairwise.
 4. Verification. What the bound leaves is verified on the sets themselves.
 
 Shingles are 64-bit hashes; a set is known by a 64-bit fingerprint, and it is
@@ -59,12 +60,13 @@ NO_DOC = np.iinfo(np.int64).min
 class Join:
     """percent: least Jaccard similarity, in percent. width: words in a shingle.
     fanout: points and nodes in a node of the R-tree. leaf_block: sets in a part of
-    a block."""
+    a block. nearest: candidates that the first search of a point gives."""
 
     percent: int = 75
     width: int = 5
     fanout: int = 16
     leaf_block: int = 2048
+    nearest: int = 4
 
     def overlap(self, n):
         """Least overlap of two linked sets with n elements in all."""
@@ -243,16 +245,18 @@ def distinct_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("token", "fp").join(kept, "token")
 
 
-def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -> tuple[np.ndarray, np.ndarray]:
+def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each point of each leaf the one after it in its leaf with the greatest bound
-    for their sizes, if the bound lets them link. at: rows of the leaves, -1 for none."""
+    for their sizes, if the bound lets them link; and which leaves have more pairs that
+    might. at: rows of the leaves, -1 for none."""
     width = at.shape[1]
     lengths = np.array(list(map(len, points)))
     groups = np.where(at >= 0, lengths[at], 1 << 30).min(axis=1)
-    found = []
+    found, more_left = [], np.zeros(len(at), bool)
     for g in np.unique(groups):
-        leaves = at[groups == g]
-        for some in np.array_split(leaves, -(-len(leaves) * width * int(g) // (1 << 22))):
+        leaves = np.flatnonzero(groups == g)
+        for these in np.array_split(leaves, -(-len(leaves) * width * int(g) // (1 << 22))):
+            some, left = at[these], np.zeros(len(these), np.int64)
             a = np.zeros((*some.shape, g), np.uint16)
             for i, j in np.argwhere(some >= 0):
                 a[i, j] = np.minimum(folded(np.frombuffer(points[some[i, j]], np.uint8), g), 65535)
@@ -262,16 +266,20 @@ def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -
                 bound = np.minimum(a[:, d:], a[:, :-d]).sum(axis=2, dtype=np.int64)
                 x, y = size[:, :-d], size[:, d:]
                 fits = (x > 0) & (y > 0) & (100 * np.minimum(x, y) >= how.percent * np.maximum(x, y)) & (bound >= how.overlap(x + y))
+                left += fits.sum(axis=1)
                 score = np.where(fits, bound / np.maximum(x + y, 1), 0)
                 more = score > best[:, :-d]
                 best[:, :-d][more], to[:, :-d][more] = score[more], some[:, d:][more]
             hit = to >= 0
             found.append((some[hit], to[hit]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            more_left[these] = left > hit.sum(axis=1)
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), more_left
 
 
 def neighbours(rows: DataFrame, how: Join) -> DataFrame:
-    """(a, b): candidates that the nodes of the blocks' trees give, one or two a point.
+    """Rows (a, b): candidates that the nodes of the blocks' trees give, one or two a
+    point; and rows (token): blocks that have more pairs which might link, for all that
+    these show: those of several leaves, and leaves with more than was given.
     rows: token, fp, n, point. Streams over rows in the order of the leaves, with one
     leaf and the first points of the nodes above it held, whatever the block."""
     f = how.fanout
@@ -309,21 +317,27 @@ def neighbours(rows: DataFrame, how: Join) -> DataFrame:
                 k = np.repeat(np.arange(len(first)), np.diff(np.append(first, rest)))
                 leaf[k, pos[:rest] % f] = np.arange(rest)
                 n, points = np.array([r[2] for r in held]), [r[3] for r in held]
-                x, y = _leaf_pairs(n, points, leaf, how)
+                x, y, more = _leaf_pairs(n, points, leaf, how)
+                after = np.append(first[1:], rest)
+                ends = (after == len(t)) | start[np.minimum(after, len(t) - 1)]
+                tokens = []
                 pairs = [(held[i][1], held[j][1]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-                for i in first.tolist():
+                for i, end, left in zip(first.tolist(), ends.tolist(), more.tolist(), strict=True):
                     if held[i][0] != token or (start[i] and i):
                         token, done = held[i][0], 0
                     head, (fp, size, point) = above(heads, done, held[i][1:]), held[i][1:]
+                    if done or left or not end:
+                        tokens.append(token)
                     done += 1
                     if head and 100 * min(head[1], size) >= how.percent * max(head[1], size) and may_link(np.frombuffer(head[2], np.uint8), np.frombuffer(point, np.uint8), head[1] + size, how):
                         pairs.append((head[0], fp))
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+                none = [None] * len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array([*(min(p) for p in pairs), *none], pa.int64()), pa.array([*(max(p) for p in pairs), *none], pa.int64()), pa.array([None] * len(pairs) + tokens, pa.int64())], ["a", "b", "token"])
             held = held[rest:]
         tidy()
 
     x = rows.select("token", "fp", "n", "point").repartition(partitions(rows), "token").sortWithinPartitions("token", "n", "point", "fp")
-    return x.mapInArrow(run, "a long, b long")
+    return x.mapInArrow(run, "a long, b long, token long")
 
 
 def _place(doc: Column, bits: int) -> Column:
@@ -413,14 +427,15 @@ class RTree:
         return self.order[at], bound
 
 
-def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.ndarray:
+def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> tuple[np.ndarray, bool]:
     """Pairs (a, b) of one block's rows, from parts lo and hi, of different labels,
-    that the bound does not exclude: of each row the one of greatest bound, or all."""
+    that the bound does not exclude: of each row those of greatest bound, or all of
+    which the block is the first that both are in. And whether there are more."""
     n, fp, label, part = (block[c] for c in ("n", "fp", "label", "part"))
     token, g = int(block["token"][0]), min(map(len, block["point"]))
     points = np.stack([folded(np.frombuffer(x, np.uint8), g) for x in block["point"]])
     lo, hi = int(block["lo"][0]), int(block["hi"][0])
-    out = [np.empty((0, 2), np.int64)]
+    out, more = [np.empty((0, 2), np.int64)], False
     for mine, theirs in {(lo, hi), (hi, lo)}:
         own, other = np.flatnonzero(part == mine), np.flatnonzero(part == theirs)
         if not len(own) or not len(other):
@@ -431,18 +446,19 @@ def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> np.n
             j = other[j]
             fits = (label[j] != label[i]) & ((n[j] > n[i]) | ((n[j] == n[i]) & (fp[j] > fp[i])))
             j, bound = j[fits], bound[fits]
-            if not len(j):
-                continue
-            if nearest:  # ties fall differently in every block
-                j = j[[np.lexsort((fp[j] ^ token, -bound))[0]]]
-            out.append(np.stack([np.full(len(j), fp[i]), fp[j]], axis=1))
-    return np.concatenate(out)
+            if nearest and len(j) > how.nearest:  # ties fall differently in every block
+                j, more = j[np.lexsort((fp[j] ^ token, -bound))[: how.nearest]], True
+            elif not nearest and len(j):
+                j = j[[int(np.intersect1d(block["tokens"][i], block["tokens"][k], assume_unique=True)[0]) == token for k in j]]
+            if len(j):
+                out.append(np.stack([np.full(len(j), fp[i]), fp[j]], axis=1))
+    return np.concatenate(out), more
 
 
 def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
-    """(token, a, b) that the R-trees of the blocks (token, lo, hi) of rows leave. A
-    block, of at most two parts, is held whole."""
-    names = ["token", "lo", "hi", "part", "fp", "n", "label", "point"]
+    """Rows (a, b) that the R-trees of the blocks (token, lo, hi) of rows leave, and
+    rows (token) of blocks that have more. A block, of at most two parts, is held whole."""
+    names = ["token", "lo", "hi", "part", "fp", "n", "label", "point", *([] if nearest else ["tokens"])]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -452,14 +468,16 @@ def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
             t, lo, hi = (table.column(c).to_numpy() for c in names[:3])
             cut = np.flatnonzero((t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
-            found, tokens, at = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], 0
+            found, tokens, at = [np.empty((0, 2), np.int64)], [], 0
             for end in [*cut.tolist(), *([len(t)] if last else [])]:
                 if end - at > 1:
-                    found.append(survivors_of({c: v[at:end] for c, v in cols.items()}, how, nearest))
-                    tokens.append(np.full(len(found[-1]), t[at]))
+                    ends, more = survivors_of({c: v[at:end] for c, v in cols.items()}, how, nearest)
+                    found.append(ends)
+                    tokens += [int(t[at])] * more
                 at = end
-            ends = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["token", "a", "b"]), table.slice(at)
+            ends, none = np.concatenate(found), pa.nulls(len(tokens), pa.int64())
+            sides = [pa.concat_arrays([pa.array(ends[:, i]), none]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*sides, pa.concat_arrays([pa.nulls(len(ends), pa.int64()), pa.array(tokens, pa.int64())])], ["a", "b", "token"]), table.slice(at)
 
         for b in batches:
             held.append(b)
@@ -473,7 +491,7 @@ def surviving(rows: DataFrame, how: Join, nearest: bool) -> DataFrame:
         tidy()
 
     x = rows.select(names).repartition(partitions(rows), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return x.mapInArrow(run, "token long, a long, b long")
+    return x.mapInArrow(run, "a long, b long, token long")
 
 
 def open_blocks(rows: DataFrame, classes_of: DataFrame) -> DataFrame:
@@ -492,7 +510,7 @@ def in_parts(rows: DataFrame, points: DataFrame, how: Join) -> DataFrame:
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.where("token is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = None) -> DataFrame:
@@ -530,26 +548,38 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
         once.drop()
 
         # What the nodes of the trees give.
-        pairs = once.staged(neighbours(rows.join(points, "fp"), how).distinct(), "jaccard-near")
+        near = once.staged(neighbours(rows.join(points, "fp"), how).distinct(), "jaccard-near")
+        pairs = tried = tmp.staged(near.where("token is null").select("a", "b"), "jaccard-tried")
         tell("candidates of nodes", pairs)
         links = tmp.staged(verified(pairs, texts, reps, how, once), "jaccard-links")
         tell("links of nodes", links)
+        rows = block_tmp.staged(rows.join(near.where("token is not null").select("token"), "token"), "jaccard-unfinished")
+        tell("rows of unfinished blocks", rows)
         once.drop()
         classes_of = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
 
-        # What a search of the trees finds between classes: of one point of each, then of all.
+        # What a search of the trees finds between classes: of each point the nearest,
+        # then all, in the blocks where there were more.
         for nearest in (True, False):
+            step = "nearest" if nearest else "all"
             rows = block_tmp.staged(open_blocks(rows.select("token", "fp"), classes_of), "jaccard-open")
-            tell(f"rows of open blocks, {'one of each class' if nearest else 'all'}", rows)
-            few = rows.groupBy("token", "label").agg(F.min("fp").alias("fp")) if nearest else rows
-            found = once.staged(_pairs(surviving(in_parts(few, points, how), how, nearest)), "jaccard-found")
-            tell(f"candidates of search, {'one of each class' if nearest else 'all'}", found)
-            if not found.isEmpty():
-                more = tmp.staged(verified(found, texts, reps, how, once), "jaccard-more")
-                tell(f"links of search, {'one of each class' if nearest else 'all'}", more)
+            tell(f"rows of open blocks, {step}", rows)
+            if rows.isEmpty():
+                break
+            x = in_parts(rows, points, how)
+            if not nearest:
+                x = x.join(rows.groupBy("fp").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "fp")  # a prefix at most
+            found = once.staged(surviving(x, how, nearest), "jaccard-found")
+            pairs = tmp.staged(_pairs(found).join(tried, ["a", "b"], "left_anti"), "jaccard-tried")
+            tell(f"candidates of search, {step}", pairs)
+            tried = tried.unionByName(pairs)
+            if not pairs.isEmpty():
+                more = tmp.staged(verified(pairs, texts, reps, how, once), "jaccard-more")
+                tell(f"links of search, {step}", more)
                 if not more.isEmpty():
                     links = links.unionByName(more)
                     classes_of = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+            rows = block_tmp.staged(rows.select("token", "fp").join(found.where("token is not null").select("token").distinct(), "token"), "jaccard-rest")
             once.drop()
         block_tmp.drop()
 
