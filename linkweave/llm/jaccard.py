@@ -12,7 +12,7 @@ exact copies are one point whatever their number. Two sets link when
    Any order gives the same links; this one keeps blocks small. Of blocks with the
    same sets, as the many shingles of a group of copies make, one stays.
 2. Points and trees. Shingles hash into groups and a set is the point of its group
-   counts, a byte each. The sum of coordinate minima bounds the overlap of two sets.
+   counts, four bits each. The sum of coordinate minima bounds the overlap of two sets.
    The points of a block are packed into an R-tree, whose leaves are `fanout` points
    next to each other in size and then coordinates. Its nodes give the first
    candidates: of each point the one of its leaf with the greatest bound, and of each
@@ -25,7 +25,7 @@ exact copies are one point whatever their number. Two sets link when
    upper corner. First each point looks for its nearest ones of other classes, then,
    where there were more, for all that the bound leaves. Blocks of over `leaf_block`
    sets are cut in parts that meet pairwise.
-4. Verification. What the bound leaves is verified on the sets themselves.
+4. Verification. What the bound leaves is verified on the texts' sets themselves.
 
 Shingles are 64-bit hashes; a set is known by a 64-bit fingerprint, and it is
 checked with 128 bits that no two sets share one.
@@ -48,9 +48,9 @@ from .shared import Scratch, free_name, mixed, partitions, quoted, raw_texts, sh
 
 #: Buckets of the shingle counts: the top bits of a hash.
 BUCKET_BITS = 18
-#: Most bits of the filter of ids whose sets are fetched (8 MB), and the ids that it
-#: can take; for more, texts are joined with their ids. False hits only cost time.
-FILTER_BITS, FILTER_IDS = 26, 1 << 23
+#: Most bits of the filter of texts that are fetched (8 MB), and the texts that it can
+#: tell; more of them are joined unfiltered. False hits only cost time.
+FILTER_BITS, FILTER_KEYS = 26, 1 << 23
 #: Sets of a task that are remembered so as not to emit copies; and rows of a block
 #: that are held to see whether another block has the same.
 REMEMBERED, HELD = 100_000, 65_536
@@ -90,22 +90,29 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """Group counts of a set, a byte each; half as many groups as elements, up to as
+    """Group counts of a set, four bits each; half as many groups as elements, up to as
     many. Groups are ranges of the top bits, so that neighbouring groups add up to those
-    of half as many. 255 stands for any more."""
+    of half as many. 15 stands for any more."""
     bits = min(20, max(4, (max(len(s), 1) - 1).bit_length() - 1))
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    v = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (v[::2] | (v[1::2] << 4)).tobytes()
 
 
-def folded(point: np.ndarray, groups: int) -> np.ndarray:
-    """A point in fewer coordinates, as counts; what stands for more stays as much."""
-    v = np.where(point == 255, 1 << 30, point.astype(np.int64))
+def groups_of(point: bytes) -> int:
+    return 2 * len(point)
+
+
+def folded(point: bytes, groups: int) -> np.ndarray:
+    """A point in so many coordinates or fewer, as counts; what stands for more stays as much."""
+    p = np.frombuffer(point, np.uint8)
+    v = np.stack([p & 15, p >> 4], axis=1).ravel().astype(np.int64)
+    v[v == 15] = 1 << 30
     return v if len(v) == groups else v.reshape(groups, -1).sum(axis=1)
 
 
-def may_link(p: np.ndarray, q: np.ndarray, n: int, how: Join) -> bool:
+def may_link(p: bytes, q: bytes, n: int, how: Join) -> bool:
     """Whether the sum of coordinate minima lets two points of n elements in all link."""
-    g = min(len(p), len(q))
+    g = min(groups_of(p), groups_of(q))
     return int(np.minimum(folded(p, g), folded(q, g)).sum()) >= how.overlap(n)
 
 
@@ -116,8 +123,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def survey(docs: DataFrame, how: Join) -> DataFrame:
     """One pass over the texts: rows (bucket, n) with the distinct shingles of each
-    bucket, and rows (doc, fp, fp2, n, point) with each text's set and its point."""
-    names = ["bucket", "doc", "fp", "fp2", "n", "point"]
+    bucket, and rows (doc, hash, fp, fp2, n, point) with each text's set and its point."""
+    names = ["bucket", "doc", "hash", "fp", "fp2", "n", "point"]
 
     def run(batches):
         counts, shift = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64(64 - BUCKET_BITS)
@@ -127,14 +134,14 @@ def survey(docs: DataFrame, how: Join) -> DataFrame:
                 fps = [fingerprint(s) for s in sets]
                 counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(fps), pa.int64()), b.column(0), *(pa.array([x[i] for x in fps], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(count_vector, sets), pa.binary())], names
+                    [pa.nulls(len(fps), pa.int64()), b.column(0), b.column(2), *(pa.array([x[i] for x in fps], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(count_vector, sets), pa.binary())], names
                 )
             tidy()
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, pa.array(counts[at]), pa.nulls(len(at), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, none, none, pa.array(counts[at]), pa.nulls(len(at), pa.binary())], names)
 
-    return docs.mapInArrow(run, "bucket long, doc long, fp long, fp2 long, n long, point binary")
+    return docs.mapInArrow(run, "bucket long, doc long, hash long, fp long, fp2 long, n long, point binary")
 
 
 def bucket_ranks(survey_table: DataFrame) -> np.ndarray:
@@ -156,14 +163,14 @@ def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks, how: Join) -> DataFrame:
-    """(token, fp, small): the prefix of each set; small where a token is in the prefix
+    """(token, fp, n, small): the prefix of each set; small where a token is in the prefix
     that the set needs against larger ones. A task emits a set once, or a few times."""
 
     def run(batches):
         done: set[int] = set()
         for whole in batches:
             for b in slices(whole, 1):
-                tokens, fps, lengths, small = [], [], [], []
+                tokens, fps, sizes, lengths, small = [], [], [], [], []
                 for raw in raw_texts(b.column(1)):
                     s = shingle_set(raw or b"", how.width)
                     n = len(s)
@@ -175,67 +182,80 @@ def prefixes(docs: DataFrame, ranks, how: Join) -> DataFrame:
                     p = how.larger_prefix(n)
                     tokens.append(ordered(s, ranks.value)[:p])
                     fps.append(fp)
+                    sizes.append(n)
                     lengths.append(p)
                     small.append(np.arange(p) < how.smaller_prefix(n))
                 if fps:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(fps, np.int64), lengths)), pa.array(np.concatenate(small))], ["token", "fp", "small"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(fps, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(small))], ["token", "fp", "n", "small"])
             tidy()
 
-    return docs.mapInArrow(run, "token long, fp long, small boolean")
-
-
-def blocks(tokens: DataFrame) -> DataFrame:
-    """(token, fp, same, too): the blocks, of tokens that several sets share and that
-    are in the smaller prefix of one. The first row of a block has 128 bits (same, too)
-    of a sum over its sets, equal for blocks of the same sets. Streams over sorted rows;
-    a block of over HELD rows passes as it comes, as if no other had its sets."""
-
-    def out(t, f, x, begun: bool):
-        """Rows of whole blocks; begun: the first one's beginning has passed."""
-        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        m = np.diff(np.append(start, len(t)))
-        keep = (m > 1) & np.logical_or.reduceat(x, start)
-        u = f.view(np.uint64)
+    return docs.mapInArrow(run, "token long, fp long, n int, small boolean")
+
+
+def blocks(tokens: DataFrame, how: Join = Join()) -> DataFrame:
+    """(token, fp, same, too): the blocks, of tokens that several sets share. A set is in
+    one only if it could link with the next larger or smaller ones there for their sizes
+    and prefixes. The first row of a block has 128 bits (same, too) of a sum over its
+    sets, equal for blocks of the same sets. Streams over sorted rows; a block of over
+    HELD rows passes as it comes, as if no other had its sets."""
+
+    def partnered(f, n, x, start):
+        """Rows that a larger one follows whose size allows a link, if the token is in
+        the row's smaller prefix; and those that such a smaller one precedes."""
+        i = np.arange(len(f))
+        small = np.append(-1, np.maximum.accumulate(np.where(x, i, -1))[:-1])
+        larger = (small >= start) & (100 * n[small] >= how.percent * n)
+        smaller = np.zeros(len(f), bool)
+        smaller[:-1] = x[:-1] & (start[1:] == start[:-1]) & (100 * n[:-1] >= how.percent * n[1:])
+        return larger | smaller
+
+    def out(t, f, n, x, begun: bool, passes: bool):
+        """Rows of whole blocks. begun: the first one's beginning has passed, and so
+        do its rows; passes: all do."""
+        first = np.append(True, t[1:] != t[:-1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+        keep = partnered(f, n.astype(np.int64), x, start) | passes
+        if begun:
+            keep |= start == 0
+        t, f, old = t[keep], f[keep], start[keep]
+        if not len(t):
+            return None
+        first = np.append(True, old[1:] != old[:-1])
+        at = np.flatnonzero(first)
         with np.errstate(over="ignore"):
-            same, too = (np.add.reduceat(mixed(u ^ np.uint64(k)), start).view(np.int64) for k in (0, 0x5851F42D4C957F2D))
-        first = np.zeros(len(t), bool)
-        first[start] = True
+            same, too = (np.repeat(np.add.reduceat(mixed(f.view(np.uint64) ^ np.uint64(k)), at).view(np.int64), np.diff(np.append(at, len(t)))) for k in (0, 0x5851F42D4C957F2D))
         if begun:
-            keep[0], first[0] = True, False
-        rows = np.repeat(keep, m)
-        none = ~first[rows]
-        at = np.repeat(np.arange(len(m)), m)[rows]
-        return pa.RecordBatch.from_arrays([pa.array(t[rows]), pa.array(f[rows]), pa.array(same[at], mask=none), pa.array(too[at], mask=none)], ["token", "fp", "same", "too"])
+            first[0] = False
+        if passes:  # its own mark, which no sum over sets gives but by chance
+            too = t
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(f), pa.array(same, mask=~first), pa.array(too, mask=~first)], ["token", "fp", "same", "too"])
 
     def run(batches):
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool))
         begun = False  # rows of the held block have passed
         last = None  # the last row seen, so that a set from another task is passed over
         for b in batches:
-            t, f = (b.column(i).to_numpy() for i in range(2))
-            x = b.column(2).to_numpy(zero_copy_only=False)
+            t, f, n = (b.column(i).to_numpy() for i in range(3))
+            x = b.column(3).to_numpy(zero_copy_only=False)
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
             new[0] = last != (t[0], f[0])
             last = (t[-1], f[-1])
-            t, f, x = (np.concatenate(c) for c in zip(held, (t[new], f[new], x[new]), strict=True))
+            t, f, n, x = held = tuple(np.concatenate(c) for c in zip(held, (t[new], f[new], n[new], x[new]), strict=True))
             if not len(t):
                 continue
             cut = int(np.searchsorted(t, t[-1]))
             if cut:
-                yield out(t[:cut], f[:cut], x[:cut], begun)
-                begun = False
-            held = t[cut:], f[cut:], x[cut:]
+                if rows := out(*(c[:cut] for c in held), begun, False):
+                    yield rows
+                begun, held = False, tuple(c[cut:] for c in held)
             if len(held[0]) > HELD:
-                rows = out(*held, begun)
-                if not begun:  # its own mark, which no sum over sets gives but by chance
-                    rows = rows.set_column(3, "too", pa.array(np.where(np.arange(rows.num_rows) == 0, held[0][0], 0), mask=np.arange(rows.num_rows) > 0))
-                yield rows
+                yield out(*held, begun, True)
                 held, begun = tuple(c[:0] for c in held), True
-        if len(held[0]):
-            yield out(*held, begun)
+        if len(held[0]) and (rows := out(*held, begun, False)):
+            yield rows
 
-    sorted_rows = tokens.repartition(partitions(tokens), "token").sortWithinPartitions("token", "fp")
+    sorted_rows = tokens.repartition(partitions(tokens), "token").sortWithinPartitions("token", "n", "fp")
     return sorted_rows.mapInArrow(run, "token long, fp long, same long, too long")
 
 
@@ -250,7 +270,7 @@ def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -
     for their sizes, if the bound lets them link; and which leaves have more pairs that
     might. at: rows of the leaves, -1 for none."""
     width = at.shape[1]
-    lengths = np.array(list(map(len, points)))
+    lengths = np.array(list(map(groups_of, points)))
     groups = np.where(at >= 0, lengths[at], 1 << 30).min(axis=1)
     found, more_left = [], np.zeros(len(at), bool)
     for g in np.unique(groups):
@@ -259,7 +279,7 @@ def _leaf_pairs(n: np.ndarray, points: list[bytes], at: np.ndarray, how: Join) -
             some, left = at[these], np.zeros(len(these), np.int64)
             a = np.zeros((*some.shape, g), np.uint16)
             for i, j in np.argwhere(some >= 0):
-                a[i, j] = np.minimum(folded(np.frombuffer(points[some[i, j]], np.uint8), g), 65535)
+                a[i, j] = np.minimum(folded(points[some[i, j]], g), 65535)
             size = np.where(some >= 0, n[some], 0)
             best, to = np.zeros(some.shape), np.full(some.shape, -1)
             for d in range(1, width):
@@ -329,7 +349,7 @@ def neighbours(rows: DataFrame, how: Join) -> DataFrame:
                     if done or left or not end:
                         tokens.append(token)
                     done += 1
-                    if head and 100 * min(head[1], size) >= how.percent * max(head[1], size) and may_link(np.frombuffer(head[2], np.uint8), np.frombuffer(point, np.uint8), head[1] + size, how):
+                    if head and 100 * min(head[1], size) >= how.percent * max(head[1], size) and may_link(head[2], point, head[1] + size, how):
                         pairs.append((head[0], fp))
                 none = [None] * len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([*(min(p) for p in pairs), *none], pa.int64()), pa.array([*(max(p) for p in pairs), *none], pa.int64()), pa.array([None] * len(pairs) + tokens, pa.int64())], ["a", "b", "token"])
@@ -340,61 +360,56 @@ def neighbours(rows: DataFrame, how: Join) -> DataFrame:
     return x.mapInArrow(run, "a long, b long, token long")
 
 
-def _place(doc: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(1 << bits))
+def _place(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(1 << bits))
 
 
-def id_filter(ids: DataFrame, bits: int) -> Column:
-    """Whether a doc is among ids, or (rarely) not: bits at hashed places, tested in
-    the scan."""
-    spark = ids.sparkSession
-    words = ids.select(_place(F.col("doc"), bits).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+def key_filter(keys: DataFrame, bits: int) -> Column:
+    """Whether a row's `hash` is among those of keys, or (rarely) not: bits at hashed
+    places, tested in the scan."""
+    spark = keys.sparkSession
+    words = keys.select(_place(F.col("hash"), bits).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     data = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))})).scalar()
-    place = _place(F.col("doc"), bits)
+    place = _place(F.col("hash"), bits)
     word = F.get(data, F.floor(place / F.lit(64)).cast("int"))
     return F.expr("1L") == F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
 
-def fetch_sets(docs: DataFrame, needed: DataFrame, how: Join) -> DataFrame:
-    """(fp, shingles): the sets of needed (fp, doc). Up to FILTER_IDS of them, docs'
-    texts are not shuffled, only the sets that a filter of ids lets through."""
-
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, 1):
-                sets = [shingle_set(raw or b"", how.width) for raw in raw_texts(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "fp", "shingles"])
-            tidy()
-
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, how: Join, tmp: Scratch, repeats: bool) -> DataFrame:
+    """The pairs (a, b) whose sets link. pairs and reps must be written tables. Texts
+    meet, which are smaller than their sets; up to FILTER_KEYS, a filter lets only those
+    of the pairs through to the shuffle. repeats: texts may hold a row several times."""
+    side = lambda c: reps.select(F.col("fp").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("hash").alias(f"hash_{c}"))
+    keyed = tmp.staged(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-keyed")
+    needed = keyed.select(F.col("hash_a").alias("hash")).unionAll(keyed.select(F.col("hash_b").alias("hash"))).distinct()
     n = needed.count()
-    if n <= FILTER_IDS:
-        docs = docs.where(id_filter(needed, min(FILTER_BITS, max(10, (16 * n).bit_length()))))
-    else:
-        docs = docs.join(needed.select("doc").distinct(), "doc", "left_semi")
-    rows = docs.mapInArrow(run, "doc long, fp long, shingles binary")
-    return rows.join(needed, ["fp", "doc"]).drop("doc").dropDuplicates(["fp"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, how: Join, tmp: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets link. pairs and reps must be written tables."""
-    ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = tmp.staged(fetch_sets(texts, tmp.staged(reps.select("fp", "doc").join(ends, "fp", "left_semi"), "jaccard-needed"), how), "jaccard-sets")
+    if n <= FILTER_KEYS:
+        texts = texts.where(key_filter(needed, min(FILTER_BITS, max(10, (64 * n).bit_length()))))
+    if repeats:
+        texts = texts.dropDuplicates(["doc", "hash"])
 
     def run(batches):
+        last = (None, None)
         for whole in batches:
-            for b in slices(whole, 2, 8 << 20):
+            for b in slices(whole, 2, 4 << 20):
                 keep = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= how.overlap(len(x) + len(y)))
+                for a, c, x, y in zip(*(b.column(i).to_pylist() for i in (0, 1)), *(raw_texts(b.column(i)) for i in (2, 3)), strict=True):
+                    s = shingle_set(x, how.width)
+                    if last[0] != c:
+                        last = c, shingle_set(y, how.width)
+                    t = last[1]
+                    if fingerprint(s)[0] != a or fingerprint(t)[0] != c:
+                        raise RuntimeError("a text has another set than when it was surveyed")
+                    keep.append(len(np.intersect1d(s, t, assume_unique=True)) >= how.overlap(len(s) + len(t)))
                 yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(2)], ["a", "b"])
             tidy()
 
-    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
-    x = x.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    x = keyed
+    for c in "ab":
+        x = x.join(texts.select(F.col("doc").alias(f"doc_{c}"), F.col("hash").alias(f"hash_{c}"), F.col("text").alias(f"text_{c}")), [f"doc_{c}", f"hash_{c}"])
+    return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 class RTree:
@@ -432,8 +447,8 @@ def survivors_of(block: dict[str, np.ndarray], how: Join, nearest: bool) -> tupl
     that the bound does not exclude: of each row those of greatest bound, or all of
     which the block is the first that both are in. And whether there are more."""
     n, fp, label, part = (block[c] for c in ("n", "fp", "label", "part"))
-    token, g = int(block["token"][0]), min(map(len, block["point"]))
-    points = np.stack([folded(np.frombuffer(x, np.uint8), g) for x in block["point"]])
+    token, g = int(block["token"][0]), min(map(groups_of, block["point"]))
+    points = np.stack([folded(x, g) for x in block["point"]])
     lo, hi = int(block["lo"][0]), int(block["hi"][0])
     out, more = [np.empty((0, 2), np.int64)], False
     for mine, theirs in {(lo, hi), (hi, lo)}:
@@ -526,7 +541,7 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
 
     told: takes the numbers of rows in blocks, of candidates and of links by step."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "text", F.xxhash64("text").alias("hash"))
 
     def tell(name: str, df: DataFrame) -> None:
         if told is not None:
@@ -534,14 +549,15 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
 
     with Scratch(spark) as tmp, Scratch(spark) as block_tmp, Scratch(spark) as once:
         seen = tmp.staged(survey(texts, how), "jaccard-survey")
-        ids = seen.where("bucket is null").select("doc", "fp", "fp2", "n", "point")
-        reps = ids.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
-        reps = tmp.staged(reps, "jaccard-reps")
+        ids = seen.where("bucket is null").select("doc", "hash", "fp", "fp2", "n", "point")
+        reps = ids.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc", "hash")).alias("of"), F.first("n").alias("n"), F.first("point").alias("point"), F.min("fp2").alias("one"), F.max("fp2").alias("two"))
+        reps = tmp.staged(reps.select("*", "of.*").drop("of"), "jaccard-reps")
+        repeats = not ids.groupBy("doc", "hash").count().where("count > 1").isEmpty()
         if not reps.where("one <> two").isEmpty():
             raise ValueError("two different sets have one 64-bit fingerprint")
         points = reps.select("fp", "n", "point")
         ranks = spark.sparkContext.broadcast(bucket_ranks(seen))
-        every = once.staged(blocks(prefixes(texts, ranks, how)), "jaccard-every-block")
+        every = once.staged(blocks(prefixes(texts, ranks, how), how), "jaccard-every-block")
         tell("rows of blocks", every)
         rows = block_tmp.staged(distinct_blocks(every), "jaccard-blocks")
         tell("rows of distinct blocks", rows)
@@ -551,7 +567,7 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
         near = once.staged(neighbours(rows.join(points, "fp"), how).distinct(), "jaccard-near")
         pairs = tried = tmp.staged(near.where("token is null").select("a", "b"), "jaccard-tried")
         tell("candidates of nodes", pairs)
-        links = tmp.staged(verified(pairs, texts, reps, how, once), "jaccard-links")
+        links = tmp.staged(verified(pairs, texts, reps, how, once, repeats), "jaccard-links")
         tell("links of nodes", links)
         rows = block_tmp.staged(rows.join(near.where("token is not null").select("token"), "token"), "jaccard-unfinished")
         tell("rows of unfinished blocks", rows)
@@ -574,7 +590,7 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
             tell(f"candidates of search, {step}", pairs)
             tried = tried.unionByName(pairs)
             if not pairs.isEmpty():
-                more = tmp.staged(verified(pairs, texts, reps, how, once), "jaccard-more")
+                more = tmp.staged(verified(pairs, texts, reps, how, once, repeats), "jaccard-more")
                 tell(f"links of search, {step}", more)
                 if not more.isEmpty():
                     links = links.unionByName(more)

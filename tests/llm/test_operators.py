@@ -435,24 +435,33 @@ def test_a_large_group_costs_in_proportion(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_blocks_stream_in_any_batches(spark, monkeypatch):
+def test_blocks_stream_in_any_batches(spark):
     r = random.Random(18)
+    size = {f: r.randint(20, 60) for f in range(60)}
     data = sorted({(r.randint(0, 40), r.randint(0, 9)) for _ in range(300)} | {(50, i) for i in range(60)} | {(51, i) for i in range(60)})
-    small = {d: r.random() < 0.4 for d in data}
-    df = spark.createDataFrame([(*d, small[d]) for d in data + data[::3]], "token long, fp long, small boolean").repartition(3)
-    of = {}
+    small = {d: r.random() < 0.4 or d[0] > 49 for d in data}
+    df = spark.createDataFrame([(*d, size[d[1]], small[d]) for d in data + data[::3]], "token long, fp long, n int, small boolean").repartition(3)
+    pairs = {}
+    for (t, f), (u, g) in itertools.permutations(data, 2):
+        if t == u and (size[f], f) < (size[g], g) and small[t, f] and 100 * size[f] >= 75 * size[g]:
+            pairs.setdefault(t, set()).add((f, g))
+    sets = {}
     for t, f in data:
-        of.setdefault(t, []).append(f)
-    want = {t: fs for t, fs in of.items() if len(fs) > 1 and any(small[t, f] for f in fs)}
+        sets.setdefault(t, set()).add(f)
     for batch in (1, 7, 10_000):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
         try:
             out = jaccard.blocks(df)
-            assert rows(out.select("token", "fp")) == sorted(((t, f) for t, fs in want.items() for f in fs), key=repr)
+            got = {}
+            for t, f in rows(out.select("token", "fp")):
+                got.setdefault(t, set()).add(f)
+            assert set(got) == set(pairs)
+            for t, fs in got.items():
+                assert {f for p in pairs[t] for f in p} <= fs <= sets[t]
             kept = {}
             for t, f in rows(jaccard.distinct_blocks(out)):
-                kept.setdefault(t, []).append(f)
-            assert sorted(map(sorted, kept.values())) == sorted(map(list, {tuple(sorted(fs)) for fs in want.values()}))
+                kept.setdefault(t, set()).add(f)
+            assert sorted(map(sorted, kept.values())) == sorted(map(list, {tuple(sorted(fs)) for fs in got.values()}))
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -466,14 +475,14 @@ def test_bound_never_excludes_a_link():
             b = np.concatenate([a[: int(n * r.uniform(0.6, 1))], r.integers(0, 2**63, int(n * r.uniform(0, 0.4))).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             k, both = len(np.intersect1d(a, b)), len(a) + len(b)
-            p, q = (np.frombuffer(jaccard.count_vector(x), np.uint8) for x in (a, b))
+            p, q = (jaccard.count_vector(x) for x in (a, b))
             if 100 * k >= 75 * (both - k):
                 assert jaccard.may_link(p, q, both, how)
                 s, t = (a, b) if len(a) <= len(b) else (b, a)
                 ranks = r.permutation(1 << jaccard.BUCKET_BITS).astype(np.uint64)
                 s, t = jaccard.ordered(s, ranks), jaccard.ordered(t, ranks)
                 assert len(np.intersect1d(s[: how.smaller_prefix(len(s))], t[: how.larger_prefix(len(t))]))
-            g = min(len(p), len(q))
+            g = min(jaccard.groups_of(p), jaccard.groups_of(q))
             assert np.minimum(jaccard.folded(p, g), jaccard.folded(q, g)).sum() >= k
 
 
