@@ -6,6 +6,7 @@ stripping takes all white space.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -70,12 +71,22 @@ def emaildomain(c: Column) -> Column:
     return _some(c, F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 2)).otherwise(c))
 
 
+def _template(primary: str) -> str:
+    r"""A replacement with \\1 or \\g<1> for a group, in the JVM's notation."""
+    parts = re.split(r"\\(?:g<(\d+)>|([1-9]\d?)|(\\))", primary)
+    out = parts[0].replace("\\", "\\\\").replace("$", r"\$")
+    for g, n, slash, rest in zip(*(parts[i::4] for i in (1, 2, 3, 4)), strict=True):
+        out += ("\\\\" if slash else f"${{G{g or n}}}") + rest.replace("\\", "\\\\").replace("$", r"\$")
+    return re.sub(r"\$\{G(\d+)\}(?=(.?))", lambda m: f"${m[1]}" + ("\\" if m[2].isdigit() else ""), out)
+
+
 class Normaliser:
     """Replaces aliases (pattern fragments, any case, whole words) by their primary
-    form, in the order given."""
+    form, in the order given. A primary form may name groups: \\1 is the alias found,
+    and the aliases' own groups follow."""
 
     def __init__(self, aliases: Mapping[str, Sequence[str]]):
-        self.rules = [(f"(?i){_EDGE}(?:{'|'.join(a)}){_EDGE}", primary.replace("\\", "\\\\").replace("$", r"\$")) for primary, a in aliases.items()]
+        self.rules = [(f"(?i){_EDGE}({'|'.join(a)}){_EDGE}", _template(primary)) for primary, a in aliases.items()]
 
     def __call__(self, c: Column) -> Column:
         out = c

@@ -21,7 +21,7 @@ def getter(df: DataFrame, spec: Spec) -> Column:
     if isinstance(spec, int):
         return F.col(f"`{df.columns[spec]}`")
     if isinstance(spec, str):
-        return F.col(spec)
+        return F.col("`" + spec.replace("`", "``") + "`") if spec in df.columns else F.col(spec)
     if callable(spec):
         return spec(df)
     raise TypeError(f"not a field: {spec!r}")

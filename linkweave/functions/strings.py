@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,57 @@ def levenshtein(a: Sequence, b: Sequence) -> int:
     return row[-1]
 
 
+def _codes(items: list[Sequence], fill: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as rows of numbers, filled up, and their lengths."""
+    lengths = np.array(list(map(len, items)), np.int64)
+    out = np.full((len(items), int(lengths.max(initial=0))), fill, np.int64)
+    for i, x in enumerate(items):
+        out[i, : len(x)] = [codes.setdefault(v, len(codes)) for v in x]
+    return out, lengths
+
+
+def edit_distances(a: list[Sequence], b: list[Sequence], transpositions: bool) -> np.ndarray:
+    """Distances of many pairs, a matrix row of all of them at a time: what an insertion
+    adds along a row is a running minimum. With transpositions as `osa`, else as `levenshtein`."""
+    codes: dict = {}
+    (x, nx), (y, ny) = _codes(a, -1, codes), _codes(b, -2, codes)
+    place = np.arange(y.shape[1] + 1)
+    row, before, out = np.tile(place, (len(a), 1)), None, ny.copy()
+    for i in range(1, x.shape[1] + 1):
+        now = np.empty_like(row)
+        now[:, 0] = i
+        letter = x[:, i - 1, None]
+        now[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (letter != y))
+        if transpositions and i > 1 and y.shape[1] > 1:
+            swapped = (letter == y[:, :-1]) & (x[:, i - 2, None] == y[:, 1:])
+            now[:, 2:] = np.where(swapped, np.minimum(now[:, 2:], before[:, :-2] + 1), now[:, 2:])
+        now = np.minimum.accumulate(now - place, axis=1) + place
+        done = np.flatnonzero(nx == i)
+        out[done] = now[done, ny[done]]
+        before, row = row, now
+    return out
+
+
+def _distance(a: Column, b: Column, transpositions: bool) -> Column:
+    @F.arrow_udf("bigint")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y = left.to_pylist(), right.to_pylist()
+        some = [i for i, (u, v) in enumerate(zip(x, y, strict=True)) if u is not None and v is not None]
+        some.sort(key=lambda i: (len(x[i]), len(y[i])))  # matrices of about one size together
+        out = np.zeros(len(x), np.int64)
+        at = 0
+        while at < len(some):
+            width = max(len(x[some[at]]), len(y[some[at]])) + 1
+            these = some[at : at + max(1, (1 << 18) // width)]
+            out[these] = edit_distances([x[i] for i in these], [y[i] for i in these], transpositions)
+            at += len(these)
+        none = np.ones(len(x), bool)
+        none[some] = False
+        return pa.array(out, mask=none)
+
+    return of(a, b)
+
+
 def lift(f: Callable, returns: str = "double") -> Callable[..., Column]:
     """A Python function of two values as a function of two columns, in Arrow
     batches; null where either is null."""
@@ -62,12 +114,12 @@ def lift(f: Callable, returns: str = "double") -> Callable[..., Column]:
 
 def osa_distance(a: Column, b: Column) -> Column:
     """Of strings or arrays; null if either is null."""
-    return lift(osa, "bigint")(a, b)
+    return _distance(a, b, True)
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of arrays."""
-    return lift(levenshtein, "bigint")(a, b)
+    return _distance(a, b, False)
 
 
 def osa_similarity(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALL = "*"
+#: Rows of a block that meet in one task; larger blocks are cut.
+SPLIT = 4096
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def _pairs(left: DataFrame, right: DataFrame | None, split: int | None) -> DataF
     return left.withColumnRenamed("id", "a_id").join(right.withColumnRenamed("id", "b_id"), on).select(*on, "a_id", "b_id")
 
 
-def candidates(left: DataFrame, blockings: list[Blocking], id_col: str, right: DataFrame | None = None, right_blockings: list[Blocking] | None = None, split: int | None = None) -> DataFrame:
+def candidates(left: DataFrame, blockings: list[Blocking], id_col: str, right: DataFrame | None = None, right_blockings: list[Blocking] | None = None, split: int | None = SPLIT) -> DataFrame:
     """Distinct (a_id, b_id): within left, each unordered pair once with the lesser
     id first; or left to right, indices matched by position."""
     if right is None:
@@ -94,11 +96,11 @@ def candidates(left: DataFrame, blockings: list[Blocking], id_col: str, right: D
     return rows.select("a_id", "b_id").distinct()
 
 
-def all_pairs_within(df: DataFrame, id_col: str, split: int | None = None) -> DataFrame:
+def all_pairs_within(df: DataFrame, id_col: str, split: int | None = SPLIT) -> DataFrame:
     return candidates(df, [Blocking("all", kind="all_pairs")], id_col, split=split)
 
 
-def all_pairs_between(left: DataFrame, right: DataFrame, id_col: str, split: int | None = None) -> DataFrame:
+def all_pairs_between(left: DataFrame, right: DataFrame, id_col: str, split: int | None = SPLIT) -> DataFrame:
     return candidates(left, [Blocking("all", kind="all_pairs")], id_col, right, split=split)
 
 

@@ -20,7 +20,7 @@ from linkweave.plans.lineage import staged
 Rule = Callable[[Column], Column]
 Distance = Callable[[Column, Column], Column]
 Vector = Sequence[float | None]
-#: Labelled examples are few; they become literals of the plan.
+#: Labelled examples that load_examples brings to the driver at most.
 MAX_EXAMPLES = 10_000
 
 
@@ -41,25 +41,28 @@ def _literal(v: Vector) -> Column:
     return F.array(*(F.lit(x).cast("double") for x in v)).cast("array<double>")
 
 
-def _nearest(v: Column, examples: Sequence[Vector], distance: Distance) -> Column:
-    if not examples:
-        return F.raise_error(F.lit("no examples")).cast("double")
-    return F.array_min(F.transform(F.array(*map(_literal, examples)), lambda e: distance(v, e)))
+def _as_value(compared: DataFrame, examples: Sequence[Vector]) -> Column:
+    rows = [[None if x is None else float(x) for x in e] for e in examples]
+    return compared.sparkSession.createDataFrame([(rows,)], "examples array<array<double>>").scalar()
+
+
+def _nearest(v: Column, examples: Column, distance: Distance) -> Column:
+    none = F.raise_error(F.lit("no examples")).cast("double")
+    return F.when(F.size(examples) == 0, none).otherwise(F.array_min(F.transform(examples, lambda e: distance(v, e))))
 
 
 def nearest_classify(compared: DataFrame, matches: Sequence[Vector], nonmatches: Sequence[Vector], distance: Distance = l2, rule: Rule | None = None) -> DataFrame:
     """Match where the nearest match example is nearer than the nearest non-match
     one (a tie is a non-match); score is the log ratio of the distances. A rule that
-    gives true or false decides first, with score 1.0 or 0.0. No shuffle: examples
-    are part of the plan."""
-    if len(matches) + len(nonmatches) > MAX_EXAMPLES:
-        raise ValueError(f"more than {MAX_EXAMPLES} examples")
+    gives true or false decides first, with score 1.0 or 0.0. No shuffle: examples, of
+    the caller's own number, go to tasks as one value, not as literals of the plan."""
     v = as_array(F.col("sim"), compared.schema["sim"].dataType.names)
     x = compared.withColumn("_r", F.lit(None).cast("boolean")) if rule is None else rule_verdicts(compared, rule).withColumnRenamed("is_match", "_r")
-    near = F.struct(_nearest(v, matches, distance).alias("m"), _nearest(v, nonmatches, distance).alias("n"))
+    x = x.withColumns({"_m": _as_value(compared, matches), "_n": _as_value(compared, nonmatches)})
+    near = F.struct(_nearest(v, F.col("_m"), distance).alias("m"), _nearest(v, F.col("_n"), distance).alias("n"))
     x = x.withColumn("_d", F.when(F.col("_r").isNull(), near))
     x = x.withColumn("is_match", F.coalesce("_r", F.col("_d.m") < F.col("_d.n")))
-    return x.withColumn("score", F.coalesce(F.col("_r").cast("double"), log_ratio(F.col("_d.m"), F.col("_d.n")))).drop("_r", "_d")
+    return x.withColumn("score", F.coalesce(F.col("_r").cast("double"), log_ratio(F.col("_d.m"), F.col("_d.n")))).drop("_r", "_d", "_m", "_n")
 
 
 def kmeans_classify(compared: DataFrame, distance: Distance = l2, maxiter: int = 10) -> DataFrame:
@@ -112,9 +115,20 @@ def example_vectors(comparator: Record, records: DataFrame, label: str, key: str
     return comparator.compare(pairs, x, id_col=id_col).join(labels, "a_id").select("label", "a_id", "b_id", "sim")
 
 
-def load_examples(comparator: Record, records: DataFrame, label: str, key: str, id_col: str) -> tuple[list[Vector], list[Vector]]:
-    """(match vectors, non-match vectors), for nearest_classify."""
-    rows = example_vectors(comparator, records, label, key, id_col).limit(MAX_EXAMPLES + 1).collect()
+def load_examples(comparator: Record, records: DataFrame, label: str, key: str, id_col: str, outdir: str | None = None) -> tuple[list[Vector], list[Vector]]:
+    """(match vectors, non-match vectors), for nearest_classify. outdir: where the pairs'
+    comparisons are reported too, as folders examples_true.csv and examples_false.csv."""
+    x = example_vectors(comparator, records, label, key, id_col)
+    if outdir:
+        from linkweave.plans.reports import comparison_report
+        from linkweave.sources.csv_files import write_csv
+
+        keyed = Blocking(key, lambda d: F.col(f"`{key}`"), strict=False)
+        order = ["a_id", "b_id", "ordinal"]
+        for name, side in (("true", x.where("label")), ("false", x.where("not label"))):
+            report = comparison_report(side, records, [keyed], comparator, id_col)
+            write_csv(report.orderBy(*order).drop(*order), f"{outdir}/examples_{name}.csv")
+    rows = x.limit(MAX_EXAMPLES + 1).collect()
     if len(rows) > MAX_EXAMPLES:
         raise ValueError(f"more than {MAX_EXAMPLES} examples")
     return [list(r["sim"]) for r in rows if r["label"]], [list(r["sim"]) for r in rows if not r["label"]]

@@ -141,3 +141,18 @@ def test_vectors(ev):
         assert math.isclose(ev(vectors.norm_l2(_v(a), _v(b), _v(s))), d)
     with pytest.raises(Exception, match="different length"):
         ev(vectors.l2(_v([1]), _v([1, 2])))
+
+
+def test_normaliser_templates(ev):
+    n = E.Normaliser({r"<\1>": ["red", "bl(ue)"], r"\g<2>0 \\ $1": ["(x)y"]})
+    assert ev(n(F.lit("a Red blue xy"))) == r"a <Red> <blue> x0 \ $1"
+
+
+@given(st.lists(st.tuples(st.text("abc", max_size=7), st.text("abc", max_size=7)), min_size=1, max_size=12))
+@settings(deadline=None)
+def test_distances_of_many_pairs(pairs):
+    a, b = zip(*pairs, strict=True)
+    assert strings.edit_distances(a, b, True).tolist() == [strings.osa(x, y) for x, y in pairs]
+    assert strings.edit_distances(a, b, False).tolist() == [strings.levenshtein(x, y) for x, y in pairs]
+    lists = [[list(x) for x in side] for side in (a, b)]
+    assert strings.edit_distances(*lists, True).tolist() == strings.edit_distances(a, b, True).tolist()

@@ -286,3 +286,48 @@ def test_kmeans_query_goes_on_until_it_converges(spark, tmp_path):
         old = labels
     got = catalogue.QUERIES["kmeans_classify"](spark, str(tmp_path))
     assert got.where("is_match").count() == sum(at[-1]) != sum(at[2])
+
+
+def test_csv_dialects(spark, tmp_path):
+    from linkweave.sources.csv_files import read_csv, write_csv
+
+    rows = [("a;b", "it's", "x\ty"), ("", "'q'", "\u20ac")]
+    df = spark.createDataFrame(rows, "p string, q string, r string")
+    for n, how in enumerate(({"sep": ";"}, {"sep": "\t", "quote": "'"}, {"sep": "|", "quote": "'", "escape": "\\"})):
+        path = str(tmp_path / str(n))
+        write_csv(df, path, line_end="\n", **how)
+        assert sorted(map(tuple, read_csv(spark, path, **how).collect())) == sorted(rows)
+    (tmp_path / "t.csv").write_bytes(b"p;q\n1;'2;3'\n")
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "t.csv"), sep=";", quote="'").collect()] == [("1", "2;3")]
+
+
+def test_examples_are_reported(spark, tmp_path):
+    from linkweave.operators import classify, compare
+    from linkweave.sources.csv_files import read_csv
+
+    df = spark.createDataFrame([(1, "g", 1, 5.0), (2, "g", 1, 6.0), (3, "h", 0, 1.0), (4, "h", 0, 9.0)], "id long, k string, y int, v double")
+    record = compare.Record(("v", compare.Field(lambda a, b: 1 / (1 + F.abs(a - b)), "v")))
+    matches, others = classify.load_examples(record, df, "y", "k", "id", outdir=str(tmp_path))
+    assert (matches, others) == ([[0.5]], [[1 / 9]])
+    got = [tuple(r) for r in read_csv(spark, str(tmp_path / "examples_true.csv")).collect()]
+    assert got == [("", "g", "5.0"), ("", "g", "6.0"), ("0", "True", "0.5")]
+    assert len(read_csv(spark, str(tmp_path / "examples_false.csv")).collect()) == 3
+
+
+def test_groups_are_numbered_over_ranges(spark):
+    from linkweave.operators.grouping import group_ids
+
+    df = spark.createDataFrame([(i, i // 3 * 10 if i % 5 else None) for i in range(200)], "id long, component long")
+    got = {r.component: r.group_id for r in group_ids(df).collect()}
+    order = sorted(c for c in got if c is not None)
+    assert [got[c] for c in order] == list(range(len(order))) and got[None] is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from linkweave.plans.lineage import work_dir
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(spark)
