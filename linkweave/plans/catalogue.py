@@ -65,10 +65,9 @@ _encoder("enc_reverse", "customer", "c_custkey", "c_name", E.reverse, "CASE WHEN
 _URL = "^(?:http://)?(?:www\\.)?([^/]+)(?:/.*)?"
 _encoder("enc_urldomain", "pages", "page_id", "url", E.urldomain, f"CASE WHEN url <> '' THEN CASE WHEN regexp_matches(url, '{_URL}') THEN regexp_extract(url, '{_URL}', 1) ELSE url END END")
 _MAIL = r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+"
-query("enc_emaildomain", f"""
-WITH m AS (SELECT doc_id, regexp_extract(text, '{_MAIL}') AS m FROM documents)
-SELECT doc_id, CASE WHEN m <> '' THEN CASE WHEN regexp_matches(m, '^([^@]+)@(.+)') THEN regexp_extract(m, '^([^@]+)@(.+)', 2) ELSE m END END AS result FROM m
-""")(lambda t: t.documents.select("doc_id", E.emaildomain(F.regexp_extract("text", _MAIL, 0)).alias("result")))
+query("enc_emaildomain", f"SELECT doc_id, list_transform(regexp_extract_all(text, '{_MAIL}'), lambda m: CASE WHEN regexp_matches(m, '^([^@]+)@(.+)') THEN regexp_extract(m, '^([^@]+)@(.+)', 2) ELSE m END) AS result FROM documents")(
+    lambda t: t.documents.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0)), E.emaildomain).alias("result"))
+)
 _encoder("enc_normaliser", "part", "p_partkey", "p_name", E.Normaliser({"crimson": ["red", "rouge"], "": ["small", "tiny"], "fastener": ["bolt", "nut$"]}),
          r"trim(regexp_replace(regexp_replace(regexp_replace(p_name, '(?i)\b(red|rouge)\b', 'crimson', 'g'), '(?i)\b(small|tiny)\b', '', 'g'), '(?i)\b(bolt|nut$)\b', 'fastener', 'g'))")
 _encoder("enc_wrap", "part", "p_partkey", "p_name", P.wrap(E.sorted_words, E.reverse), "array_to_string(list_sort(string_split(reverse(p_name), ' ')), ' ')")
@@ -81,7 +80,16 @@ def _(t):
     return t.part.select("p_partkey", codes[0].alias("code"), codes[1].alias("alternate"))
 
 
-@query("enc_soundex")
+_SOUND = "regexp_replace(translate(upper(p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202'), '[^0-9]', '0', 'g')"
+_RUNS = "s[1] || replace(s[2:], '7', '')"
+for _d in "0123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_d}+', '{_d}', 'g')"
+
+
+@query("enc_soundex", f"""
+WITH c AS (SELECT p_partkey, p_name, {_SOUND} AS s FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[A-Za-z]') THEN rpad(left(upper(p_name[1]) || replace(({_RUNS})[2:], '0', ''), 4), 4, '0') ELSE p_name END AS result FROM c
+""")
 def _(t):
     return t.part.select("p_partkey", F.soundex("p_name").alias("result"))
 
@@ -258,12 +266,25 @@ def _(t):
     return _part_names(t).select("a_id", "b_id", strings.sequence_distance(F.split("an", " "), F.split("bn", " ")).alias("result"))
 
 
-@query("osa_distance")
+#: Matrix rows before and at i, for all pairs at once, from the recurrence.
+_OSA = f"""
+WITH RECURSIVE {_PAIRS}, m AS (
+  SELECT a_id, b_id, an, bn, 0 AS i, []::BIGINT[] AS p, range(length(bn) + 1) AS r FROM pairs
+  UNION ALL
+  SELECT a_id, b_id, an, bn, i + 1, r, list_reduce(list_transform(range(length(bn) + 1), lambda j: CASE WHEN j = 0 THEN [i + 1] ELSE [least(
+    r[j + 1] + 1, r[j] + (an[i + 1] <> bn[j])::BIGINT,
+    CASE WHEN i > 0 AND j > 1 AND an[i + 1] = bn[j - 1] AND an[i] = bn[j] THEN p[j - 1] + 1 ELSE 1000000 END)] END),
+    lambda x, y: list_append(x, least(y[1], x[len(x)] + 1))) FROM m WHERE i < length(an)
+), osa AS (SELECT a_id, b_id, an, bn, r[len(r)]::BIGINT AS d FROM m WHERE i = length(an))
+"""
+
+
+@query("osa_distance", f"{_OSA} SELECT a_id, b_id, d AS result FROM osa")
 def _(t):
     return _part_names(t).select("a_id", "b_id", strings.osa_distance(F.col("an"), F.col("bn")).alias("result"))
 
 
-@query("osa_similarity")
+@query("osa_similarity", f"{_OSA} SELECT a_id, b_id, 1 - d / greatest(length(an), length(bn))::DOUBLE AS result FROM osa")
 def _(t):
     return _part_names(t).select("a_id", "b_id", strings.osa_similarity(F.col("an"), F.col("bn")).alias("result"))
 
@@ -423,24 +444,29 @@ def _(t):
 
 # Vectors
 
-_E = "[CASE WHEN vec_id % 3 <> 0 THEN embedding[1]::DOUBLE END, embedding[2]::DOUBLE, CASE WHEN vec_id % 5 <> 0 THEN embedding[3]::DOUBLE END, embedding[4]::DOUBLE]"
+#: All components, each null in every seventh vector, against a centre with its own nulls.
+_V = "list_transform(range(len(embedding)), lambda i: CASE WHEN (vec_id + i) % 7 <> 3 THEN embedding[i + 1]::DOUBLE END)"
+_C, _S = "CASE WHEN i % 11 <> 5 THEN (i % 9) / 10.0::DOUBLE - 0.4::DOUBLE END", "(1 + i % 4) / 4.0::DOUBLE"
+_DIFF = lambda by: f"SELECT vec_id, round(sqrt(coalesce(list_sum(list_transform(range(len(e)), lambda i: ((e[i + 1] - ({_C})) / {by}) ** 2)), 0)), 9) AS result FROM (SELECT vec_id, {_V} AS e FROM embeddings)"
 
 
-def _vector() -> Column:
-    e = lambda i: F.col("embedding")[i].cast("double")
-    return F.array(F.when(F.col("vec_id") % 3 != 0, e(0)), e(1), F.when(F.col("vec_id") % 5 != 0, e(2)), e(3))
+def _vectors() -> list[Column]:
+    """A vector with nulls, the centre, the deviations."""
+    at = lambda f: F.transform("embedding", lambda x, i: f(x, i))
+    v = at(lambda x, i: F.when((F.col("vec_id") + i) % 7 != 3, x.cast("double")))
+    c = at(lambda x, i: F.when(i % 11 != 5, (i % 9).cast("double") / F.lit(10.0) - F.lit(0.4)))
+    return [v, c, at(lambda x, i: (1 + i % 4).cast("double") / F.lit(4.0))]
 
 
-@query("l2_distance", f"WITH v AS (SELECT vec_id, {_E} AS e FROM embeddings) SELECT vec_id, round(sqrt(coalesce((e[1] - 0.1) * (e[1] - 0.1), 0) + coalesce((e[2] + 0.2) * (e[2] + 0.2), 0) + coalesce((e[4] - 0.05) * (e[4] - 0.05), 0)), 9) AS result FROM v")
+@query("l2_distance", _DIFF("1"))
 def _(t):
-    c = F.array(F.lit(0.1), F.lit(-0.2), F.lit(None).cast("double"), F.lit(0.05))
-    return t.embeddings.select("vec_id", F.round(vectors.l2(_vector(), c), 9).alias("result"))
+    v, c, _ = _vectors()
+    return t.embeddings.select("vec_id", F.round(vectors.l2(v, c), 9).alias("result"))
 
 
-@query("norml2_distance", f"WITH v AS (SELECT vec_id, {_E} AS e FROM embeddings) SELECT vec_id, round(sqrt(coalesce(((e[1] - 0.1) / 0.5) ** 2, 0) + ((e[2] + 0.2) / 2) ** 2 + coalesce((e[3] / 0.25) ** 2, 0) + (e[4] - 0.05) ** 2), 9) AS result FROM v")
+@query("norml2_distance", _DIFF(f"({_S})"))
 def _(t):
-    c, s = F.array(*map(F.lit, (0.1, -0.2, 0.0, 0.05))), F.array(*map(F.lit, (0.5, 2.0, 0.25, 1.0)))
-    return t.embeddings.select("vec_id", F.round(vectors.norm_l2(_vector(), c, s), 9).alias("result"))
+    return t.embeddings.select("vec_id", F.round(vectors.norm_l2(*_vectors()), 9).alias("result"))
 
 
 # Classification
@@ -480,14 +506,14 @@ def _(t):
 
 
 _KD = lambda c, side: f"sqrt(coalesce((name - {c}.{side}n) * (name - {c}.{side}n), 0) + coalesce((price - {c}.{side}p) * (price - {c}.{side}p), 0))"
-_KPASS = lambda i: f"""k{i + 1} AS (SELECT s.*, {_KD(f'c{i}', 'h')} < {_KD(f'c{i}', 'l')} AS y FROM sims s, c{i}),
-c{i + 1} AS (SELECT avg(name) FILTER (y) AS hn, avg(price) FILTER (y) AS hp, avg(name) FILTER (NOT y) AS ln, avg(price) FILTER (NOT y) AS lp FROM k{i + 1})"""
+_KPASS = lambda i: f"""k{i + 1} AS MATERIALIZED (SELECT s.*, {_KD(f'c{i}', 'h')} < {_KD(f'c{i}', 'l')} AS y FROM sims s, c{i}),
+c{i + 1} AS MATERIALIZED (SELECT avg(name) FILTER (y) AS hn, avg(price) FILTER (y) AS hp, avg(name) FILTER (NOT y) AS ln, avg(price) FILTER (NOT y) AS lp FROM k{i + 1})"""
 
 
 @query("kmeans_classify", f"""
 WITH {_PAIRS}, {_SIM}, c0 AS (SELECT max(name) AS hn, max(price) AS hp, min(name) AS ln, min(price) AS lp FROM sims),
-{_KPASS(0)}, {_KPASS(1)}, {_KPASS(2)}
-SELECT a_id, b_id, y AS is_match, round(log10(({_KD('c3', 'l')} + 0.1) / ({_KD('c3', 'h')} + 0.1)), 6) AS score FROM k3, c3
+{", ".join(map(_KPASS, range(10)))}
+SELECT a_id, b_id, y AS is_match, round(log10(({_KD('c10', 'l')} + 0.1) / ({_KD('c10', 'h')} + 0.1)), 6) AS score FROM k10, c10
 """)
 def _(t):
     x = K.kmeans_classify(_part_sims(t))
@@ -626,13 +652,13 @@ def document_groups(documents: DataFrame, split: int = 1000) -> DataFrame:
     return G.singles_and_groups(edges, documents.select("doc_id"), "doc_id").select("doc_id", F.col("component").alias("group_least"))
 
 
-_PREFIX = "left(CASE WHEN text <> '' THEN trim(regexp_replace(lower(text), '[^A-Za-z0-9_]+', ' ', 'g')) END, 24)"
-
-
 @query("dedup_documents", f"""
-WITH RECURSIVE d AS (SELECT doc_id, n_chars, {_PREFIX} AS key FROM documents),
-m AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM d a JOIN d b ON a.key = b.key AND a.key <> '' AND a.doc_id < b.doc_id WHERE least(a.n_chars, b.n_chars)::DOUBLE / greatest(a.n_chars, b.n_chars, 1) > 0.95),
-es AS (SELECT a_id AS u, b_id AS v FROM m UNION ALL SELECT b_id, a_id FROM m), {_COMPONENTS}
+WITH RECURSIVE d AS (SELECT doc_id, string_split({_ALNUM('text')}, ' ') AS w FROM documents WHERE {_ALNUM('text')} <> ''),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i + 1:i + 3], ' '))) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+m AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k::DOUBLE / (x.n + y.n - k) >= {NEAR_COPY}),
+es AS (SELECT a AS u, b AS v FROM m UNION ALL SELECT b, a FROM m), {_COMPONENTS}
 SELECT doc_id, component AS group_least FROM documents LEFT JOIN comp ON node = doc_id
 """)
 def _(t):
