@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mixed, partitions
+from .shared import mixed, partitions, slices, tidy
 
 #: doc_id, window, number of tokens; then the tokens; then a line end.
 HEADER = np.dtype([("doc_id", "<i8"), ("window", "<i4"), ("n", "<i4")])
@@ -141,17 +141,6 @@ class ByteBpe:
         return np.concatenate(out), counts
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """Pieces of a batch with about so many bytes of text each."""
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-        pa.default_memory_pool().release_unused()
-
-
 _bpe: dict[tuple, ByteBpe] = {}
 
 
@@ -173,7 +162,8 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
     A text is its tokens and an end token, cut into windows of `length`; the last
     is filled up with the end token. Null and empty texts give no sequence; rows
     without an id are written under the least long; repeated rows repeat their
-    sequences. Empty table: a manifest and no shard. The rank file is read on the
+    sequences; texts are read whole, and a long one is many sequences. Other columns,
+    whatever their names, are not read. Empty table: a manifest and no shard. The rank file is read on the
     driver and sent to tasks (its size is that of a vocabulary)."""
     spark = docs.sparkSession
     with open(ranks_file, "rb") as f:
@@ -183,9 +173,10 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
     def count(batches):
         bpe, n = _tokenizer(ranks.value, pattern), 0
         for b in batches:
-            for part in _slices(b, 1):
+            for part in slices(b, 1):
                 sizes = bpe.encode(part.column(1))[1]
                 n += int(_windows(sizes[sizes > 0] + 1, length).sum())
+            tidy()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
 
     counts = sorted(map(tuple, rows.mapInArrow(count, "part long, n long").where("n > 0").collect()))  # one row a task
@@ -205,7 +196,7 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
         at, n = begun.value.get(part, (0, 0))
         last, end = at + n, np.array([bpe.end], "<u2").tobytes()
         for b in batches:
-            for texts in _slices(b, 1):
+            for texts in slices(b, 1):
                 ids, sizes = bpe.encode(texts.column(1))
                 data, done, out = ids.tobytes(), 0, []
                 for doc, n in zip(texts.column(0).to_pylist(), sizes.tolist(), strict=True):
@@ -221,6 +212,7 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
                     slots = order.slot(np.arange(at, at + len(some), dtype=np.int64))
                     at += len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(some, pa.binary())], ["slot", "record"])
+            tidy()
         if at != last:
             raise RuntimeError(f"partition {part} has other rows than when they were counted")
 
@@ -228,7 +220,8 @@ def write_shards(docs: DataFrame, path: str, ranks_file: str, pattern: str, leng
     parts = max(1, min(max(partitions(docs), manifest["shards"] // 64), manifest["shards"]))
     shard = F.expr(f"slot div {per_shard}")
     placed = rows.mapInArrow(place, "slot long, record binary").withColumn("shard", shard)
-    ranged = placed.repartitionById(parts, F.expr(f"int(shard * {parts} div {manifest['shards']})")).sortWithinPartitions("slot")
+    # By shard first, as the writer needs it: else it sorts again, and by shard alone.
+    ranged = placed.repartitionById(parts, F.expr(f"int(shard * {parts} div {manifest['shards']})")).sortWithinPartitions("shard", "slot")
     ranged.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/data")
     return manifest
 
