@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, raw_texts, shingle_hashes, staged, word_hashes
+from .shared import mixed, raw_texts, shingle_hashes, slices, staged, tidy, word_hashes
 
 #: Keys are compared as whole multiples of 2**-20.
 KEY_UNIT = 1 << 20
@@ -63,11 +63,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: Sampling = Sampling()) -> np.nd
     def count(batches):
         every, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for b in batches:
-            for raw, is_target in zip(raw_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                c = np.bincount(ngram_buckets(raw or b"", n), minlength=n)
-                every += c
-                if is_target:
-                    target += c
+            for part in slices(b):
+                for raw, is_target in zip(raw_texts(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    c = np.bincount(ngram_buckets(raw or b"", n), minlength=n)
+                    every += c
+                    if is_target:
+                        target += c
+            tidy()
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(target[at])], ["bucket", "every", "target"])
 
@@ -86,7 +88,8 @@ def keys(doc_id: Column, text: Column, table: np.ndarray, how: Sampling = Sampli
 
     @F.arrow_udf("struct<log_ratio:double,key:bigint>")
     def of(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        score = np.array([table[ngram_buckets(x or b"", how.buckets)].sum() for x in raw_texts(texts)])
+        score = np.array([table[ngram_buckets(x or b"", how.buckets)].sum() for part in slices(texts) for x in raw_texts(part)])
+        tidy()
         h = np.array([xxhash.xxh3_64_intdigest(f"{how.seed}:{i}".encode()) for i in ids.to_pylist()], np.uint64)
         u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
         key = np.floor((score - np.log(-np.log(u))) * KEY_UNIT).astype(np.int64)
