@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import raw_texts
+from .shared import raw_texts, slices, tidy
 
 UNKNOWN = "und"
 #: A letter of any script; numerals such as a half or a Roman eight are none.
@@ -243,13 +243,16 @@ def predict(text: Column, net: BiGru, langs: list[str]) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(texts: pa.Array) -> pa.Array:
-        raw = raw_texts(texts)
-        use = [i for i, t in enumerate(raw) if t and langs]
-        lang, score = [UNKNOWN] * len(raw), np.zeros(len(raw))
-        if use:
-            p = pooled(net, [raw[i] for i in use])
-            for i, row in zip(use, p, strict=True):
-                lang[i], score[i] = langs[int(row.argmax())], min(1.0, float(row.max()))
+        lang, score, at = [UNKNOWN] * len(texts), np.zeros(len(texts)), 0
+        for part in slices(texts, most=8 << 20):
+            raw = raw_texts(part)
+            use = [i for i, t in enumerate(raw) if t and langs]
+            if use:
+                p = pooled(net, [raw[i] for i in use])
+                for i, row in zip(use, p, strict=True):
+                    lang[at + i], score[at + i] = langs[int(row.argmax())], min(1.0, float(row.max()))
+            at += len(raw)
+        tidy()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
     return of(F.when(text.rlike(LETTER), text))
