@@ -364,15 +364,16 @@ def _place(key: Column, bits: int) -> Column:
     return F.pmod(key, F.lit(1 << bits))
 
 
-def key_filter(keys: DataFrame, bits: int) -> Column:
-    """Whether a row's `hash` is among those of keys, or (rarely) not: bits at hashed
-    places, tested in the scan."""
+def key_filter(keys: DataFrame, n: int, key: Column) -> Column:
+    """Whether a row's key (a hash) is among the n in column `hash` of keys, or (rarely)
+    not: bits at hashed places, tested in the scan."""
+    bits = min(FILTER_BITS, max(10, (64 * n).bit_length()))
     spark = keys.sparkSession
     words = keys.select(_place(F.col("hash"), bits).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     data = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))})).scalar()
-    place = _place(F.col("hash"), bits)
+    place = _place(key, bits)
     word = F.get(data, F.floor(place / F.lit(64)).cast("int"))
     return F.expr("1L") == F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
@@ -386,7 +387,7 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, how: Join, tmp
     needed = keyed.select(F.col("hash_a").alias("hash")).unionAll(keyed.select(F.col("hash_b").alias("hash"))).distinct()
     n = needed.count()
     if n <= FILTER_KEYS:
-        texts = texts.where(key_filter(needed, min(FILTER_BITS, max(10, (64 * n).bit_length()))))
+        texts = texts.where(key_filter(needed, n, F.col("hash")))
     if repeats:
         texts = texts.dropDuplicates(["doc", "hash"])
 
@@ -614,10 +615,9 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     of their own, but rows of one doc_id without words are one. All columns stay,
     whatever their names; an empty table gives no rows."""
     n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    every = [quoted(c) for c in docs.columns]
     if n == ids:
-        kept = classes(docs, how).where("doc_id = component_id").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(every)
+        found = classes(docs, how)
+        return _without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
     row = free_name(docs, "row")
     rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
     found = classes(rows.select(F.col(row).alias("doc_id"), "text"), how).withColumnRenamed("doc_id", "nth")
@@ -626,4 +626,16 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     key = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")), F.when(bare, F.col("doc_id"))]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nth"))
     kept = x.groupBy(key[0].alias("x"), key[1].alias("y")).agg(first.alias("f")).select(F.col("f.nth").alias(row))
-    return rows.join(kept, row, "left_semi").select(every)
+    dropped = staged(rows.select(row).join(kept, row, "left_anti"), "jaccard-dropped")
+    return _without(rows, dropped, row).select([quoted(c) for c in docs.columns])
+
+
+def _without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """rows without those of the ids dropped. Up to FILTER_KEYS, only rows that a filter
+    of the ids lets through are shuffled; all others stay where they are."""
+    every = [quoted(c) for c in rows.columns]
+    dropped = dropped.withColumn("hash", F.xxhash64(key))
+    n = dropped.count()
+    hit = key_filter(dropped, n, F.xxhash64(key)) if n <= FILTER_KEYS else F.lit(True)
+    some = rows.where(hit).join(dropped.select(key), key, "left_anti").select(every)
+    return rows.where(~hit).select(every).union(some) if n <= FILTER_KEYS else some
