@@ -87,7 +87,7 @@ def inner_states(matrices: list[Matrix], begin: State, end: State) -> list[State
 class Model:
     """A SentencePiece model (BPE or unigram) with identity normalisation."""
 
-    def __init__(self, proto: bytes, most: int = 50_000):
+    def __init__(self, proto: bytes, most: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -194,7 +194,7 @@ class Model:
             ids = [np.array(x, self.dtype).tobytes() for x in self.sp.encode(new, num_threads=1)]
         got = dict(zip(new, ids, strict=True))
         got[""] = self.ids_of(BLANK)
-        seen.update((w, x) for w, x in got.items() if len(w) <= 64)
+        seen.update((w, x) for w, x in got.items() if len(w) <= 32)
         return [got[w] if w in got else seen[w] for w in words]
 
     def ids_of(self, piece: str) -> bytes:
