@@ -17,24 +17,35 @@ from linkweave.operators.blocking import Blocking, candidates
 from linkweave.operators.compare import Record
 from linkweave.plans.lineage import staged
 
-Rule = Callable[[Column], Column]
+Rule = Callable[..., Column]
+#: The compared tables, the second None where it is the first, and their id column.
+Sides = tuple[DataFrame, DataFrame | None, str]
 Distance = Callable[[Column, Column], Column]
 Vector = Sequence[float | None]
 #: Labelled examples that load_examples brings to the driver at most.
 MAX_EXAMPLES = 10_000
 
 
-def rule_verdicts(compared: DataFrame, rule: Rule) -> DataFrame:
-    """is_match: the rule's value, true, false or null (uncertain); it must be boolean."""
-    out = compared.withColumn("is_match", rule(F.col("sim")))
+def rule_verdicts(compared: DataFrame, rule: Rule, sides: Sides | None = None) -> DataFrame:
+    """is_match: the rule's value, true, false or null (uncertain); it must be boolean.
+    A rule gets `sim`; with sides, also both records, as structs of their columns (what
+    it doesn't use of them is not read)."""
+    x, args = compared, [F.col("sim")]
+    if sides:
+        left, right, id_col = sides
+        for p, df in (("a", left), ("b", left if right is None else right)):
+            record = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(f"_{p}")
+            x = x.join(df.select(F.col(id_col).alias(f"{p}_id"), record), f"{p}_id")
+            args.append(F.col(f"_{p}"))
+    out = x.withColumn("is_match", rule(*args)).select(*compared.columns, "is_match")
     if not isinstance(out.schema["is_match"].dataType, BooleanType):
         raise TypeError("a rule must be true, false or null")
     return out
 
 
-def rule_classify(compared: DataFrame, rule: Rule) -> DataFrame:
+def rule_classify(compared: DataFrame, rule: Rule, sides: Sides | None = None) -> DataFrame:
     """Scores 1.0 and 0.0; uncertain pairs are left out."""
-    return rule_verdicts(compared, rule).where("is_match is not null").withColumn("score", F.col("is_match").cast("double"))
+    return rule_verdicts(compared, rule, sides).where("is_match is not null").withColumn("score", F.col("is_match").cast("double"))
 
 
 def _literal(v: Vector) -> Column:
@@ -51,13 +62,14 @@ def _nearest(v: Column, examples: Column, distance: Distance) -> Column:
     return F.when(F.size(examples) == 0, none).otherwise(F.array_min(F.transform(examples, lambda e: distance(v, e))))
 
 
-def nearest_classify(compared: DataFrame, matches: Sequence[Vector], nonmatches: Sequence[Vector], distance: Distance = l2, rule: Rule | None = None) -> DataFrame:
+def nearest_classify(compared: DataFrame, matches: Sequence[Vector], nonmatches: Sequence[Vector], distance: Distance = l2, rule: Rule | None = None, sides: Sides | None = None) -> DataFrame:
     """Match where the nearest match example is nearer than the nearest non-match
     one (a tie is a non-match); score is the log ratio of the distances. A rule that
-    gives true or false decides first, with score 1.0 or 0.0. No shuffle: examples, of
-    the caller's own number, go to tasks as one value, not as literals of the plan."""
+    gives true or false decides first, with score 1.0 or 0.0; with sides it sees the
+    records. No shuffle but for these: examples, of the caller's own number, go to tasks
+    as one value, not as literals of the plan."""
     v = as_array(F.col("sim"), compared.schema["sim"].dataType.names)
-    x = compared.withColumn("_r", F.lit(None).cast("boolean")) if rule is None else rule_verdicts(compared, rule).withColumnRenamed("is_match", "_r")
+    x = compared.withColumn("_r", F.lit(None).cast("boolean")) if rule is None else rule_verdicts(compared, rule, sides).withColumnRenamed("is_match", "_r")
     x = x.withColumns({"_m": _as_value(compared, matches), "_n": _as_value(compared, nonmatches)})
     near = F.struct(_nearest(v, F.col("_m"), distance).alias("m"), _nearest(v, F.col("_n"), distance).alias("n"))
     x = x.withColumn("_d", F.when(F.col("_r").isNull(), near))

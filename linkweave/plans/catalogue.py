@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ from linkweave.operators import compare as C
 from linkweave.operators import grouping as G
 from linkweave.operators import windows as W
 from linkweave.plans import reports
-from linkweave.plans.lineage import staged
+from linkweave.plans.lineage import new_path, staged
 from linkweave.plans.linkage import Linkage
-from linkweave.sources.csv_files import project, union_fields, union_projected
+from linkweave.sources.csv_files import project, read_csv, union_fields, union_projected
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -488,6 +489,16 @@ def _(t):
     return K.rule_classify(_part_sims(t), _rule).select("a_id", "b_id", "is_match", "score")
 
 
+@query("rule_records", f"""
+WITH {_PAIRS}, {_SIM}, r AS (SELECT a_id, b_id, CASE WHEN name > 0.6 THEN x.p_size = y.p_size WHEN abs(x.p_size - y.p_size) > 20 THEN false END AS is_match
+FROM sims JOIN part x ON x.p_partkey = a_id JOIN part y ON y.p_partkey = b_id)
+SELECT *, is_match::INTEGER::DOUBLE AS score FROM r WHERE is_match IS NOT NULL
+""")
+def _(t):
+    rule = lambda sim, a, b: F.when(sim["name"] > 0.6, a["p_size"] == b["p_size"]).when(F.abs(a["p_size"] - b["p_size"]) > 20, False)
+    return K.rule_classify(_part_sims(t), rule, (t.part, None, "p_partkey")).select("a_id", "b_id", "is_match", "score")
+
+
 _MATCHES, _NONMATCHES = ([0.9, 0.9], [0.8, None]), ([0.2, 0.1], [0.4, 0.5])
 _L2 = lambda a, b: f"sqrt({' + '.join(f'coalesce(({x} - {y}) * ({x} - {y}), 0)' for x, y in zip(('name', 'price'), (a, b), strict=True) if y is not None)})"
 _DIST = f"dist AS (SELECT *, least({', '.join(_L2(*v) for v in _MATCHES)}) AS m, least({', '.join(_L2(*v) for v in _NONMATCHES)}) AS n FROM sims)"
@@ -622,6 +633,42 @@ def _(t):
     return supplier_linkage(t).groups.select("_rid.side", "id", F.col("component.id").alias("least"))
 
 
+_CUSTOMERS = "c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance, c_name AS name FROM customer"
+_SUPPLIERS = "s_suppkey AS id, s_nationkey AS nation, s_acctbal AS balance, s_name AS name FROM supplier"
+_UNLINKED = "u AS (SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND NOT abs(c_acctbal - s_acctbal) < 25)"
+
+
+@query("linkage_files", f"""
+WITH {_LINKED}, {_UNLINKED}
+SELECT 'input-records' AS file, {_CUSTOMERS}
+UNION ALL SELECT 'input-master', {_SUPPLIERS}
+UNION ALL SELECT 'input-matchrows', {_CUSTOMERS} WHERE c_custkey IN (SELECT c_custkey FROM l)
+UNION ALL SELECT 'input-singlerows', {_CUSTOMERS} WHERE c_custkey NOT IN (SELECT c_custkey FROM l)
+UNION ALL SELECT 'match-pairs', {_CUSTOMERS} JOIN l USING (c_custkey)
+UNION ALL SELECT 'match-pairs', {_SUPPLIERS} JOIN l USING (s_suppkey)
+UNION ALL SELECT 'nonmatch-pairs', {_CUSTOMERS} JOIN u USING (c_custkey)
+UNION ALL SELECT 'nonmatch-pairs', {_SUPPLIERS} JOIN u USING (s_suppkey)
+UNION ALL SELECT 'groups', {_CUSTOMERS}
+UNION ALL SELECT 'groups', {_SUPPLIERS}
+UNION ALL SELECT 'InputIdx-nation', {_CUSTOMERS}
+UNION ALL SELECT 'MasterIdx-nation', {_SUPPLIERS}
+""")
+def _(t):
+    """Every record file that write_all makes, read again."""
+    out = new_path(t.spark, "linkage-files")
+    supplier_linkage(t).write_all(out)
+    fields = ["id", "nation", "balance", "name"]
+
+    def read(name: str) -> DataFrame:
+        names = ["key", *fields] if name.endswith("Idx-nation") else None
+        x = read_csv(t.spark, f"{out}/{name}.csv", fields=names)
+        nation = F.col("key" if names else "nation").cast("int").alias("nation")
+        return x.select(F.lit(name).alias("file"), F.col("id").cast("long"), nation, F.col("balance").cast("double"), "name")
+
+    names = ["input-records", "input-master", "input-matchrows", "input-singlerows", "match-pairs", "nonmatch-pairs", "groups", "InputIdx-nation", "MasterIdx-nation"]
+    return reduce(DataFrame.unionAll, map(read, names))
+
+
 def part_dedup(part: DataFrame) -> Linkage:
     """Parts of one kind whose names are nearly equal."""
     return Linkage([part_blocks()], part_comparator(), lambda x: K.rule_classify(x, lambda s: s["name"] > 0.6), part, id_col="p_partkey")

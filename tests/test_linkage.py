@@ -14,7 +14,7 @@ from linkweave.operators import classify as K
 from linkweave.operators import compare as C
 from linkweave.operators import grouping as G
 from linkweave.plans import catalogue, reports
-from linkweave.plans.linkage import Linkage
+from linkweave.plans.linkage import LOG, Linkage, log_to
 from linkweave.sources.csv_files import project, read_csv, union_projected, write_csv
 from linkweave.streaming.incremental import link_stream
 
@@ -331,3 +331,31 @@ def test_a_cluster_needs_a_shared_folder():
     spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         work_dir(spark)
+
+
+def test_rules_see_both_records(spark):
+    people = spark.createDataFrame([(1, "Ann Pell", 1970, "x"), (2, "Ann Pel", 1970, None), (3, "Ann Pell", 1950, "x")], ["id", "name", "born", "is_match"])
+    pairs = compared(spark, {(1, 2): [0.9], (1, 3): [1.0], (2, 3): [0.1]})
+    rule = lambda s, a, b: F.when(s["v0"] > 0.5, a["born"] == b["born"])
+    out = K.rule_classify(pairs, rule, (people, None, "id"))
+    assert out.columns == ["a_id", "b_id", "sim", "is_match", "score"]
+    assert rows(out.select("a_id", "b_id", "score")) == [(1, 2, 1.0), (1, 3, 0.0)]
+    later = people.withColumn("born", F.col("born") + 20)
+    assert matched(K.rule_classify(pairs, rule, (later, people, "id"))) == set()
+    near = K.nearest_classify(pairs, [[0.2]], [[0.9]], rule=rule, sides=(people, None, "id"))
+    assert matched(near) == {(1, 2), (2, 3)}
+    same = C.Record(("s", C.Field(lambda a, b: (a == b).cast("double"), "name")))
+    link = Linkage([B.Blocking("all", kind="all_pairs")], same, lambda x: K.rule_classify(x, lambda s, a, b: (s["s"] == 1) & (a["born"] > b["born"]), link.sides), people.drop("is_match"), people, "id")
+    assert rows(link.matches.select("a_id.id", "b_id.id")) == [(1, 3)]
+
+
+def test_the_log_tells_sizes_and_results(spark, tmp_path):
+    df = spark.createDataFrame([("A", "5.5"), ("B", "3.5"), ("C", "5.25")], ["name", "num"])
+    handler = log_to(str(tmp_path / "log"))
+    try:
+        Linkage([B.Blocking("int", by_int)], same_int("num"), lambda x: K.rule_classify(x, lambda s: s["same"] > 0.5), df, df).write_all(str(tmp_path / "out"))
+    finally:
+        LOG.removeHandler(handler)
+        handler.close()
+    lines = [x.split(" product=linkweave ")[1] for x in (tmp_path / "log").read_text().splitlines()]
+    assert lines == ["index=int records=3 blocks=2 largest=2 average=1.5 comparisons=5", "master index=int records=3 blocks=2 largest=2 average=1.5", "name=Results compares=5 matches=5 nonmatch=0"]
