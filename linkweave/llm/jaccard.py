@@ -525,6 +525,18 @@ def in_parts(rows: DataFrame, points: DataFrame, how: Join) -> DataFrame:
     return x.withColumn("lo", F.least("part", "o")).withColumn("hi", F.greatest("part", "o")).drop("o", "parts").join(points, "fp")
 
 
+def joined_classes(classes_of: DataFrame, links: DataFrame) -> DataFrame:
+    """classes_of (fp, component) after further links (a, b) of written tables: only
+    the classes that these join go through components again, each as one node."""
+    label = lambda c: classes_of.select(F.col("fp").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    to = connected_components(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = classes_of.join(to, "component", "left").select("fp", F.coalesce("to", "component").alias("component"))
+    new = to.withColumnRenamed("component", "fp").join(classes_of, "fp", "left_anti").select("fp", F.col("to").alias("component"))
+    return staged(old.unionByName(new), "jaccard-components")
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     return found.where("token is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -594,8 +606,7 @@ def classes(docs: DataFrame, how: Join = Join(), told: dict[str, int] | None = N
                 more = tmp.staged(verified(pairs, texts, reps, how, once, repeats), "jaccard-more")
                 tell(f"links of search, {step}", more)
                 if not more.isEmpty():
-                    links = links.unionByName(more)
-                    classes_of = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+                    classes_of = joined_classes(classes_of, more)
             rows = block_tmp.staged(rows.select("token", "fp").join(found.where("token is not null").select("token").distinct(), "token"), "jaccard-rest")
             once.drop()
         block_tmp.drop()
